@@ -7,8 +7,17 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .token_binary import token_file_round_trip
 from .warc import archive_round_trip
 
+BYTE_BPE = "byte_bpe_50k.json"
+
+
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents; of equal texts the largest doc_id stays."""
@@ -23,7 +32,12 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_warc": op2_warc}
+def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' token ids, written in Simple-8b files and read back."""
+    return token_file_round_trip(table(spark, sf_dir, "documents"), _tokenizer(BYTE_BPE), end_id=0)
+
+
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_warc": op2_warc, "op7_token_binary": op7_token_binary}
 
 SQL = {
     "op1_exact_dedup": """
