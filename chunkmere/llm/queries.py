@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .language_id import fit, predict
+from .media import media_columns
 from .token_binary import token_file_round_trip
 from .warc import archive_round_trip
 
@@ -32,12 +34,32 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as WAV payloads with their fingerprints' features."""
+    return media_columns(table(spark, sf_dir, "documents"), keep_media=False).select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"
+    )
+
+
+def held_out() -> Column:
+    """Documents that no language model learns from."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(4)) == 2
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learned from those that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs.filter(~held_out()).select("text", "lang"))
+    found = docs.select("doc_id", held_out().alias("held_out"), predict(model).alias("r"))
+    return found.select("doc_id", "held_out", "r.lang_pred", "r.score", "r.margin", "r.rejected")
+
+
 def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' token ids, written in Simple-8b files and read back."""
     return token_file_round_trip(table(spark, sf_dir, "documents"), _tokenizer(BYTE_BPE), end_id=0)
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_warc": op2_warc, "op7_token_binary": op7_token_binary}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_warc": op2_warc, "op5_media": op5_media, "op7_token_binary": op7_token_binary, "op8_language_id": op8_language_id}
 
 SQL = {
     "op1_exact_dedup": """
