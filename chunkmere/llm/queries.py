@@ -9,6 +9,7 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .language_id import fit, predict
 from .media import media_columns
+from .sharding import shard_documents
 from .token_binary import token_file_round_trip
 from .warc import archive_round_trip
 
@@ -59,7 +60,12 @@ def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_round_trip(table(spark, sf_dir, "documents"), _tokenizer(BYTE_BPE), end_id=0)
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_warc": op2_warc, "op5_media": op5_media, "op7_token_binary": op7_token_binary, "op8_language_id": op8_language_id}
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of near equal bytes along a Hilbert curve."""
+    return shard_documents(table(spark, sf_dir, "documents"), shards=8).drop("curve")
+
+
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_warc": op2_warc, "op5_media": op5_media, "op7_token_binary": op7_token_binary, "op8_language_id": op8_language_id, "op10_sharding": op10_sharding}
 
 SQL = {
     "op1_exact_dedup": """
