@@ -33,18 +33,34 @@ WIDTHS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 0])
 FILES = "range_no int, file_no int, n_ids long, content binary"
 
 
+def _bits(v: np.ndarray) -> np.ndarray:
+    """Bits that each value takes."""
+    if not len(v) or int(v.max()) < 1 << 32:
+        return np.frexp(v.astype(np.float64))[1].astype(np.uint8)
+    high = v >> np.uint64(32)
+    return np.where(high > 0, np.frexp(high.astype(np.float64))[1] + 32, np.frexp((v & np.uint64(0xFFFFFFFF)).astype(np.float64))[1]).astype(np.uint8)
+
+
 def pack(values: np.ndarray) -> np.ndarray:
     """``values`` (uint64) as Simple-8b words."""
     v = np.ascontiguousarray(values, np.uint64)
     n = len(v)
     if not n:
         return np.empty(0, np.uint64)
-    at = np.arange(n)
     choice = np.zeros(n, np.int8)
+    # The widest of each 2**k values in a row, by bits; that of any number of them is the larger of two such runs'.
+    widest = [_bits(v)]
+    while 2 << len(widest) <= min(n, COUNTS[1]) * 2:
+        half = 1 << (len(widest) - 1)
+        widest.append(np.maximum(widest[-1][:-half], widest[-1][half:]))
     for sel in range(14, 0, -1):  # narrower selectors, which hold more values, overwrite wider ones
-        bad = np.where(v >> np.uint64(WIDTHS[sel]) != 0, at, n)
-        fits = np.minimum.accumulate(bad[::-1])[::-1] - at >= COUNTS[sel]
-        choice[fits] = sel
+        c = int(COUNTS[sel])
+        if c <= n:
+            k = c.bit_length() - 1
+            run = widest[k]
+            many = n - c + 1
+            fits = np.maximum(run[:many], run[c - (1 << k) : c - (1 << k) + many]) <= WIDTHS[sel]
+            choice[:many][fits] = sel
     step = np.where(choice == 0, 1, COUNTS[choice]).tolist()
     starts, i = [], 0
     while i < n:
@@ -181,7 +197,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
     # Ids up to the first bound are in range 0, and so on.
     number = F.coalesce(F.size(F.filter(cuts, lambda x: x < F.col("id"))), F.lit(0))
     dealt = rows.select(F.when(F.col("id").isNull(), 0).otherwise(number).cast("int").alias("range_no"), "id", "text")
-    dealt = dealt.repartition(len(bounds) + 1, "range_no").sortWithinPartitions("range_no", F.col("id").asc_nulls_first(), "text")
+    dealt = dealt.repartitionById(len(bounds) + 1, F.col("range_no")).sortWithinPartitions("range_no", F.col("id").asc_nulls_first(), "text")
     dealt.mapInArrow(_writer(tokenizer, end_id, file_ids), FILES).write.option("compression", "uncompressed").parquet(path)
 
 

@@ -12,15 +12,17 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words that a worker keeps; bytes of text that are encoded at once.
-CACHED, SLICE_BYTES = 600_000, 4 << 20
+#: Words that a worker keeps; words that are encoded as one text; bytes of text that are encoded at once.
+CACHED, JOINED, SLICE_BYTES = 600_000, 500, 8 << 20
 _SPACE = r"[\t-\r\x1c- \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _ODD = f"{_SPACE} (?:{_SPACE}|$)"
+_PLAIN = f"^ (?s:.*)[^{_SPACE[1:]}$"
 
 
 def slices(texts: pa.StringArray, most: int = SLICE_BYTES) -> Iterator[pa.StringArray]:
@@ -49,11 +51,11 @@ class TextEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self._clear()
-
-    def _clear(self) -> None:
+        self.token_bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.token_bytes[i] = len(token)  # a byte-level vocabulary has a letter for each byte
         self.slots: dict[str, int] = {}
-        self.pool, self.used = np.empty(1 << 20, np.uint32), 0
+        self.pool, self.used, self.kept_used = np.empty(1 << 20, np.uint32), 0, 0
         self.starts = np.zeros(1 << 16, np.int64)
 
     def _library(self, texts: list[str]) -> Iterator[list[int]]:
@@ -61,23 +63,48 @@ class TextEncoder:
             for x in self.tokenizer.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False):
                 yield x.ids
 
-    def _slots(self, words: list[str]) -> np.ndarray:
-        new = [w for w in words if w not in self.slots]
-        if new:
-            if len(self.slots) + len(new) > CACHED:
-                self._clear()
-                new = words
-            for w, ids in zip(new, self._library(new)):
-                n = len(self.slots)
-                if n + 2 > len(self.starts):
-                    self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-                if self.used + len(ids) > len(self.pool):
-                    self.pool = np.concatenate([self.pool, np.empty(max(len(ids), len(self.pool)), np.uint32)])
-                self.pool[self.used : self.used + len(ids)] = ids
-                self.used += len(ids)
-                self.slots[w] = n
-                self.starts[n + 1] = self.used
-        return np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
+    def _encode_words(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts): words that a space begins and no space ends are encoded many at a time and told apart by their bytes."""
+        plain = pc.match_substring_regex(words, _PLAIN).to_numpy(zero_copy_only=False)
+        joined = words if plain.all() else words.filter(pa.array(plain))
+        texts = joined.to_pylist()
+        got = [np.array(x, np.uint32) for x in self._library(["".join(texts[i : i + JOINED]) for i in range(0, len(texts), JOINED)])]
+        ids = np.concatenate([np.empty(0, np.uint32), *got])
+        ends = np.cumsum(pc.binary_length(joined).to_numpy(), dtype=np.int64)
+        token_ends = np.cumsum(self.token_bytes[ids])
+        last = np.searchsorted(token_ends, ends)
+        if len(ends) and not (token_ends[last] == ends).all():
+            raise ValueError("the vocabulary joins words across a space")
+        counts = np.diff(last, prepend=-1)
+        if plain.all():
+            return ids, counts
+        own = [np.array(x, np.uint32) for x in self._library(words.filter(pa.array(~plain)).to_pylist())]
+        every, starts = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        every[plain], every[~plain] = counts, [len(x) for x in own]
+        starts[plain] = np.cumsum(counts) - counts
+        starts[~plain] = len(ids) + np.cumsum(every[~plain]) - every[~plain]
+        return np.concatenate([ids, *own])[ragged(starts, every)], every
+
+    def _slots(self, words: pa.StringArray) -> np.ndarray:
+        """Places of distinct words in the pool.  Once CACHED words are kept, others stay for this call only."""
+        self.used, n = self.kept_used, len(self.slots)
+        found = np.fromiter(map(self.slots.get, words.to_pylist(), repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(found < 0)
+        if not len(missing):
+            return found
+        new = words.take(pa.array(missing))
+        ids, counts = self._encode_words(new)
+        while n + len(new) + 1 > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.empty(max(len(ids), len(self.pool) // 2), np.uint32)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.starts[n + 1 : n + 1 + len(new)] = self.used + np.cumsum(counts)
+        found[missing] = np.arange(n, n + len(new))
+        keep = max(0, min(len(new), CACHED - n))
+        self.slots.update(zip(new.slice(0, keep).to_pylist(), range(n, n + keep)))
+        self.kept_used = int(self.starts[len(self.slots)])
+        return found
 
     def _plain(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         words = pc.split_pattern(texts, " ")
@@ -89,7 +116,7 @@ class TextEncoder:
         # All but a text's first word have the space before them.
         spaced = pc.if_else(pa.array(first), flat, pc.binary_join_element_wise(pa.scalar(""), flat, " "))
         coded = spaced.dictionary_encode()
-        slot = self._slots(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        slot = self._slots(coded.dictionary)[coded.indices.to_numpy()]
         counts = self.starts[slot + 1] - self.starts[slot]
         ends = np.concatenate([[0], np.cumsum(counts)])
         return self.pool[ragged(self.starts[slot], counts)], ends[bounds]
