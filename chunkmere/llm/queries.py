@@ -9,6 +9,7 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .language_id import fit, predict
 from .media import media_columns
+from .packing import pack_documents
 from .sharding import shard_documents
 from .token_binary import token_file_round_trip
 from .warc import archive_round_trip
@@ -55,6 +56,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "r.lang_pred", "r.score", "r.margin", "r.rejected")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' pieces in sequences of 2048 tokens."""
+    return pack_documents(table(spark, sf_dir, "documents"), _tokenizer(BYTE_BPE), end_id=1)
+
+
 def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' token ids, written in Simple-8b files and read back."""
     return token_file_round_trip(table(spark, sf_dir, "documents"), _tokenizer(BYTE_BPE), end_id=0)
@@ -65,7 +71,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=8).drop("curve")
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_warc": op2_warc, "op5_media": op5_media, "op7_token_binary": op7_token_binary, "op8_language_id": op8_language_id, "op10_sharding": op10_sharding}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_warc": op2_warc, "op5_media": op5_media, "op6_packing": op6_packing, "op7_token_binary": op7_token_binary, "op8_language_id": op8_language_id, "op10_sharding": op10_sharding}
 
 SQL = {
     "op1_exact_dedup": """

@@ -18,15 +18,13 @@ Law ``bytes``: sizes differ by no more than the heaviest group that isn't set ap
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach_groups, cut, text_or_empty
+from .common import attach_groups, cut, in_order, text_or_empty
 
 #: Bits of each of the four dimensions.
 BITS, DIMENSIONS = 8, 4
@@ -81,37 +79,6 @@ def _dimensions(text: Column, lang: Column, source: Column) -> list[Column]:
     return [size.cast("long"), by_hash(lang), by_hash(source), by_hash(text)]
 
 
-def _run_totals(groups: DataFrame) -> DataFrame:
-    """Adds to rows in order of (part, then as they lie) the bytes and rows before them in their part."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = 0
-        for b in batches:
-            weight = b.column("weight").to_numpy()
-            ends = before + np.cumsum(weight)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ends - weight, pa.int64())], [*b.schema.names, "in_part"])
-            before = int(ends[-1]) if len(ends) else before
-
-    return groups.mapInArrow(run, f"{', '.join(f'{n} {t}' for n, t in groups.dtypes)}, in_part long")
-
-
-def in_order(rows: DataFrame, by: list[str], weight: Column) -> DataFrame:
-    """``rows`` with ``before``, the weight of all rows before theirs in the order ``by``.
-
-    Rows are dealt to parts by range; each part is summed, then the parts (a fixed number) are.
-    """
-    parts = max(2, rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions())
-    laid = rows.withColumn("weight", weight.cast("long")).repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("part", F.spark_partition_id())
-    laid = cut(_run_totals(laid))
-    sums, total = {}, 0
-    for r in laid.groupBy("part").agg(F.sum("weight").alias("w")).orderBy("part").collect():
-        sums[r["part"]], total = total, total + r["w"]
-    if not sums:
-        return laid.withColumn("before", F.lit(0).cast("long")).drop("part", "in_part", "weight")
-    starts = F.create_map(*(F.lit(x).cast("long") for kv in sums.items() for x in kv))
-    return laid.withColumn("before", F.col("in_part") + starts[F.col("part").cast("long")]).drop("part", "in_part", "weight")
-
-
 def shard_documents(
     docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", heavy: int = HEAVY
 ) -> DataFrame:
