@@ -9,6 +9,7 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .language_id import fit, predict
 from .media import media_columns
+from .ngram_join import near_duplicates
 from .packing import pack_documents
 from .sharding import shard_documents
 from .token_binary import token_file_round_trip
@@ -36,6 +37,11 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents by the Jaccard similarity of their 5-word shingles."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as WAV payloads with their fingerprints' features."""
     return media_columns(table(spark, sf_dir, "documents"), keep_media=False).select(
@@ -71,7 +77,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=8).drop("curve")
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_warc": op2_warc, "op5_media": op5_media, "op6_packing": op6_packing, "op7_token_binary": op7_token_binary, "op8_language_id": op8_language_id, "op10_sharding": op10_sharding}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_warc": op2_warc, "op4_ngram_join": op4_ngram_join, "op5_media": op5_media, "op6_packing": op6_packing, "op7_token_binary": op7_token_binary, "op8_language_id": op8_language_id, "op10_sharding": op10_sharding}
 
 SQL = {
     "op1_exact_dedup": """
