@@ -42,48 +42,27 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - counts), counts) + np.arange(total)
 
 
-class TextEncoder:
-    """Encodes arrays of texts; ``encode`` gives the ids and each text's bounds in them."""
+class WordEncoder:
+    """Encodes arrays of texts word by word; ``encode`` gives the ids and each text's bounds in them.
 
-    def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+    Subclasses say which texts are ``odd`` and go whole, and encode distinct words.
+    """
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.token_bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.token_bytes[i] = len(token)  # a byte-level vocabulary has a letter for each byte
+    odd: str
+    #: Whether a text's first word has a space before it like the others.
+    first_spaced = False
+
+    def __init__(self) -> None:
         self.slots: dict[str, int] = {}
         self.pool, self.used, self.kept_used = np.empty(1 << 20, np.uint32), 0, 0
         self.starts = np.zeros(1 << 16, np.int64)
 
-    def _library(self, texts: list[str]) -> Iterator[list[int]]:
-        for i in range(0, len(texts), 4096):
-            for x in self.tokenizer.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False):
-                yield x.ids
-
     def _encode_words(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, counts): words that a space begins and no space ends are encoded many at a time and told apart by their bytes."""
-        plain = pc.match_substring_regex(words, _PLAIN).to_numpy(zero_copy_only=False)
-        joined = words if plain.all() else words.filter(pa.array(plain))
-        texts = joined.to_pylist()
-        got = [np.array(x, np.uint32) for x in self._library(["".join(texts[i : i + JOINED]) for i in range(0, len(texts), JOINED)])]
-        ids = np.concatenate([np.empty(0, np.uint32), *got])
-        ends = np.cumsum(pc.binary_length(joined).to_numpy(), dtype=np.int64)
-        token_ends = np.cumsum(self.token_bytes[ids])
-        last = np.searchsorted(token_ends, ends)
-        if len(ends) and not (token_ends[last] == ends).all():
-            raise ValueError("the vocabulary joins words across a space")
-        counts = np.diff(last, prepend=-1)
-        if plain.all():
-            return ids, counts
-        own = [np.array(x, np.uint32) for x in self._library(words.filter(pa.array(~plain)).to_pylist())]
-        every, starts = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
-        every[plain], every[~plain] = counts, [len(x) for x in own]
-        starts[plain] = np.cumsum(counts) - counts
-        starts[~plain] = len(ids) + np.cumsum(every[~plain]) - every[~plain]
-        return np.concatenate([ids, *own])[ragged(starts, every)], every
+        """(ids, counts) of distinct words, each with the space before it."""
+        raise NotImplementedError
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        raise NotImplementedError
 
     def _slots(self, words: pa.StringArray) -> np.ndarray:
         """Places of distinct words in the pool.  Once CACHED words are kept, others stay for this call only."""
@@ -111,10 +90,11 @@ class TextEncoder:
         bounds = words.offsets.to_numpy()
         flat = words.flatten()
         bounds = bounds - bounds[0]
-        first = np.zeros(len(flat), bool)
-        first[bounds[:-1]] = True
-        # All but a text's first word have the space before them.
-        spaced = pc.if_else(pa.array(first), flat, pc.binary_join_element_wise(pa.scalar(""), flat, " "))
+        spaced = pc.binary_join_element_wise(pa.scalar(""), flat, " ")
+        if not self.first_spaced:
+            first = np.zeros(len(flat), bool)
+            first[bounds[:-1]] = True
+            spaced = pc.if_else(pa.array(first), flat, spaced)
         coded = spaced.dictionary_encode()
         slot = self._slots(coded.dictionary)[coded.indices.to_numpy()]
         counts = self.starts[slot + 1] - self.starts[slot]
@@ -124,14 +104,14 @@ class TextEncoder:
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """(ids as uint32, bounds as int64, one more than texts); a null text is empty."""
         texts = pc.fill_null(texts, "")
-        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False).astype(bool)
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False).astype(bool)
         if not odd.any():
             return self._plain(texts) if len(texts) else (np.empty(0, np.uint32), np.zeros(1, np.int64))
         ids, counts = [np.empty(0, np.uint32)], np.zeros(len(texts), np.int64)
         if (~odd).any():
             own, bounds = self._plain(texts.filter(pa.array(~odd)))
             ids, counts[~odd] = [own], np.diff(bounds)
-        whole = [np.array(x, np.uint32) for x in self._library(texts.filter(pa.array(odd)).to_pylist())]
+        whole = self._whole(texts.filter(pa.array(odd)).to_pylist())
         counts[odd] = [len(x) for x in whole]
         held = np.concatenate(ids + whole)
         starts = np.zeros(len(texts), np.int64)
@@ -140,6 +120,53 @@ class TextEncoder:
         return held[ragged(starts, counts)], np.concatenate([[0], np.cumsum(counts)])
 
 
+class TextEncoder(WordEncoder):
+    """The tokenizers library with a byte-level vocabulary."""
+
+    odd = _ODD
+
+    def __init__(self, path: str):
+        super().__init__()
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.token_bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.token_bytes[i] = len(token)  # a byte-level vocabulary has a letter for each byte
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x, np.uint32) for x in self._library(texts)]
+
+    def _library(self, texts: list[str]) -> Iterator[list[int]]:
+        for i in range(0, len(texts), 4096):
+            for x in self.tokenizer.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False):
+                yield x.ids
+
+    def _encode_words(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts): words that a space begins and no space ends are encoded many at a time and told apart by their bytes."""
+        plain = pc.match_substring_regex(words, _PLAIN).to_numpy(zero_copy_only=False)
+        joined = words if plain.all() else words.filter(pa.array(plain))
+        texts = joined.to_pylist()
+        got = [np.array(x, np.uint32) for x in self._library(["".join(texts[i : i + JOINED]) for i in range(0, len(texts), JOINED)])]
+        ids = np.concatenate([np.empty(0, np.uint32), *got])
+        ends = np.cumsum(pc.binary_length(joined).to_numpy(), dtype=np.int64)
+        token_ends = np.cumsum(self.token_bytes[ids])
+        last = np.searchsorted(token_ends, ends)
+        if len(ends) and not (token_ends[last] == ends).all():
+            raise ValueError("the vocabulary joins words across a space")
+        counts = np.diff(last, prepend=-1)
+        if plain.all():
+            return ids, counts
+        own = [np.array(x, np.uint32) for x in self._library(words.filter(pa.array(~plain)).to_pylist())]
+        every, starts = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        every[plain], every[~plain] = counts, [len(x) for x in own]
+        starts[plain] = np.cumsum(counts) - counts
+        starts[~plain] = len(ids) + np.cumsum(every[~plain]) - every[~plain]
+        return np.concatenate([ids, *own])[ragged(starts, every)], every
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> TextEncoder:
     """This worker's encoder for the vocabulary at ``path``."""
