@@ -184,7 +184,7 @@ def path_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- chunking
 
 
-@query(f"WITH {PIECES} SELECT path, seq, "offset", size, hash FROM pieces")
+@query(f'WITH {PIECES} SELECT path, seq, "offset", size, hash FROM pieces')
 def fixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T2."""
     return chunking.fixed_chunks(files(spark, sf_dir), PIECE)
