@@ -6,22 +6,21 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-ENTRIES = T.StructType.fromDDL(
+ENTRIES = (
     "id string, revision int, seq long, path binary, size long, time long, mode long, link string, hash string, uid int, gid int, "
     "content struct<start_chunk:int,start_offset:int,end_chunk:int,end_offset:int>, attributes map<string,binary>"
 )
-SNAPSHOTS = T.StructType.fromDDL(
+SNAPSHOTS = (
     "version int, id string, revision int, options string, tag string, start_time long, end_time long, file_size long, number_of_files long, "
     "files array<string>, chunks array<string>, lengths array<string>"
 )
-REFS = T.StructType.fromDDL("id string, revision int, kind string, seq int, hash string, length int")
-CHUNKS = T.StructType.fromDDL("chunk_id string, size long, state string, path string, payload binary")
-COLLECTIONS = T.StructType.fromDDL(
+REFS = "id string, revision int, kind string, seq int, hash string, length int"
+CHUNKS = "chunk_id string, size long, state string, path string, payload binary"
+COLLECTIONS = (
     "number int, end_time long, last_revisions map<string,int>, deleted_revisions map<string,array<int>>, fossils array<string>, temporaries array<string>"
 )
-VERIFIED = T.StructType.fromDDL("chunk_id string, verified_at long")
+VERIFIED = "chunk_id string, verified_at long"
 
 DAY = 86_400
 #: Bits of a Go file mode: directory, symbolic link, and all type bits.
