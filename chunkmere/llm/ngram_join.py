@@ -13,11 +13,11 @@ answer each block with the shingles that another document has too.  Shingles of
 come first in its order and can't match, so a document that shares less than ``o`` with all others
 together is done.  What remains is counted once more among itself, with one document for each set.
 
-Pairs aren't emitted within a group: every document that matches is first verified against one centre
-(the document of another component with the smallest hash that has one of its prefix shingles), the
-links are joined to components, and only documents that are in different components yet match are
-paired.  Star rounds go on while they lower the number of such pairs and it is large; the exact
-pairing that follows leaves no pair out.
+Pairs aren't emitted within a group.  Every document that matches is first verified against one centre
+(a document of another component that has one of its prefix shingles and few of its own), and the
+links are joined to components.  Such star rounds go on while they halve the number of pairs that are
+in different components yet match.  Those that are left are met block by block: a task compares two
+blocks of documents whole and gives out only the links that join components.  No pair is left out.
 """
 
 from __future__ import annotations
@@ -39,8 +39,10 @@ THRESHOLD = (80, 100)
 BLOCK_BYTES, LOW_BITS = 24 << 20, 48
 #: Prefixes match up to so often; verifying a pair costs as much as looking so many shingles up, and one more for each of its set's ``VERIFY_EACH``.
 MOST_MATCHES, VERIFY, VERIFY_EACH = 6, 4.0, 32
-#: Star rounds end when the pairs that are left are at most this many, or this many for each posting.
-FEW_PAIRS, FEW_EACH, MOST_ROUNDS = 20_000, 2, 12
+#: Star rounds end when at most so many pairs are left, by shingle, or a round hasn't halved them; how far later rounds' centres are spread.
+FEW_PAIRS, MOST_ROUNDS, SPREAD = 20_000, 8, 0.05
+#: Documents of a block of the exact pairing; columns of a dense product.
+BLOCK_DOCS, DENSE = 512, 4096
 MANY = 0xFFFF
 
 MESSAGE = "kind int, key long, block long, a binary, b binary, c binary, d binary"
@@ -265,33 +267,122 @@ def _similar(pairs: DataFrame, vertices: DataFrame, threshold: tuple[int, int])
     return both.filter(F.lit(den) * F.col("o") >= F.lit(num) * (F.col("nx") + F.col("ny") - F.col("o"))).select("x", "y")
 
 
+def _pair_block(threshold: tuple[int, int]):
+    """Links between documents of a block pair that are in different components: as few as join them."""
+    num, den = threshold
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        ids, n, comp, wanted, rest = (group[c].to_numpy() for c in ("id", "n", "comp", "matches", "rest"))
+        lists = {c: group[c].combine_chunks() for c in ("prefix", "shared")}
+        bounds = {c: x.offsets.to_numpy().astype(np.int64) for c, x in lists.items()}
+        values = {c: x.values.to_numpy() for c, x in lists.items()}
+        sizes = np.diff(bounds["shared"])
+        row = len(ids)
+
+        def met(column: str) -> np.ndarray:
+            """How many of the column's shingles each two documents share."""
+            size = np.diff(bounds[column])
+            own = values[column][bounds[column][0] : bounds[column][-1]]
+            token, code, often = np.unique(own, return_inverse=True, return_counts=True)
+            doc = np.repeat(np.arange(row), size)
+            out = np.zeros((row, row), np.float32)
+            dense = np.flatnonzero(often > 16)
+            place = np.full(len(token), -1)
+            place[dense] = np.arange(len(dense))
+            for at in range(0, len(dense), DENSE):
+                k = place[code] - at
+                held = (k >= 0) & (k < DENSE)
+                m = np.zeros((row, min(DENSE, len(dense) - at)), np.float32)
+                m[doc[held], k[held]] = 1.0
+                out += m @ m.T
+            held = (place[code] < 0) & (often[code] > 1)
+            by = np.argsort(code[held], kind="stable")
+            some, which = doc[held][by], code[held][by]
+            for gap in range(1, 16):  # of a run of equal shingles, those so far apart
+                same = which[gap:] == which[:-gap]
+                if not same.any():
+                    break
+                flat = np.bincount(some[:-gap][same] * row + some[gap:][same], minlength=0)
+                x = np.flatnonzero(flat)
+                out[x // row, x % row] += flat[x]
+                out[x % row, x // row] += flat[x]
+            return out
+
+        at = np.arange(row)
+        ok = (at[:, None] < at) & (comp[:, None] != comp) & (rest[:, None] | rest)
+        most = np.minimum(sizes[:, None], sizes)
+        ok &= den * most >= num * (n[:, None] + n - most)
+        ok &= met("prefix") >= np.minimum(wanted[:, None], wanted)
+        out = []
+        if ok.any():
+            o = met("shared").astype(np.int64)
+            root = {c: c for c in comp.tolist()}
+
+            def find(c: int) -> int:
+                while root[c] != c:
+                    root[c] = root[root[c]]
+                    c = root[c]
+                return c
+
+            for i, j in np.argwhere(ok & (den * o >= num * (n[:, None] + n - o))).tolist():
+                u, v = find(int(comp[i])), find(int(comp[j]))
+                if u != v:
+                    root[max(u, v)] = min(u, v)
+                    out.append((int(ids[i]), int(ids[j])))
+        cols = list(zip(*out)) if out else [(), ()]
+        return pa.table({"x": pa.array(cols[0], pa.int64()), "y": pa.array(cols[1], pa.int64())})
+
+    return run
+
+
+def _pair_the_rest(posts: DataFrame, vertices: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Links between documents of different components that share a prefix shingle, none left out.
+
+    Documents that such shingles connect are a family.  It is cut into blocks of about BLOCK_DOCS, and
+    every two blocks meet in a task, but for those of the family's largest component among themselves.
+    """
+    centre = posts.groupBy("token").agg(F.min("id").alias("to"))
+    family = connected_components(posts.join(centre, "token").select("id", "to").filter("id <> to").distinct(), "id", "to").select(F.col("node").alias("id"), F.col("component").alias("family"))
+    own = cut(posts.select("id", "comp").distinct().join(family, "id"))
+    by_comp = own.groupBy("family", "comp").agg(F.count("*").alias("k"))
+    sizes = by_comp.groupBy("family").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("all"))
+    sizes = sizes.select("family", F.col("top.comp").alias("main"), F.ceil(F.col("top.k") / BLOCK_DOCS).alias("blocks"), F.ceil((F.col("all") - F.col("top.k")) / BLOCK_DOCS).alias("rest_blocks"))
+    placed = own.join(sizes, "family").withColumn("rest", F.col("comp") != F.col("main"))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.when(F.col("rest"), F.col("rest_blocks")).otherwise(F.col("blocks"))))
+    with_rest = F.sequence(F.lit(0).cast("long"), F.col("rest_blocks") - 1)
+    with_main = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    task = lambda a, b, kind: F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"), F.lit(kind).alias("kind"))
+    of_rest = F.concat(F.transform(with_rest, lambda k: task(F.least(k, F.col("block")), F.greatest(k, F.col("block")), "rest")), F.transform(with_main, lambda k: task(k, F.col("block"), "main")))
+    of_main = F.transform(with_rest, lambda k: task(F.col("block"), k, "main"))
+    sent = placed.withColumn("task", F.explode(F.when(F.col("rest"), of_rest).otherwise(of_main))).select("id", "comp", "rest", "family", "task.*")
+    sent = sent.join(vertices.select("id", "n", "matches", "prefix", "shared"), "id")
+    return sent.groupBy("family", "a", "b", "kind").applyInArrow(_pair_block(threshold), "x long, y long")
+
+
 def similar_components(vertices: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """``(id, component)`` of the vertices that have a link, by the smallest id."""
     num, den = threshold
-    component = None
-    last = None
+    component = last = None
     for turn in range(MOST_ROUNDS + 1):
-        own = vertices.select("id", "n", "matches", "prefix")
+        own = vertices.select("id", "n", "matches", "prefix", (1 - F.size("shared") / F.col("n")).alias("alone"))
         if component is None:
             own = own.withColumn("comp", F.col("id"))
         else:
             own = own.join(component, own["id"] == component["node"], "left").withColumn("comp", F.coalesce("component", "id")).drop("node", "component")
-        posts = own.select("id", "n", "matches", "comp", F.explode("prefix").alias("token"))
-        posts = cut(posts)
-        rank = F.xxhash64("id", F.lit(turn))
+        posts = cut(own.select("id", "n", "comp", "alone", F.explode("prefix").alias("token")))
+        # What has the fewest shingles of its own is the likeliest centre; later rounds try others too.
+        rank = F.col("alone") + SPREAD * turn * F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1 << 20)) / float(1 << 20)
         by_comp = posts.groupBy("token", "comp").agg(F.min(F.struct(rank.alias("rank"), "id", "n")).alias("c"), F.count("*").alias("m"))
         by_token = by_comp.groupBy("token").agg(F.min(F.struct("c.rank", "comp", "c.id", "c.n")).alias("first"), F.count("*").alias("comps"), F.sum("m").alias("members"), F.sum(F.col("m") * F.col("m")).alias("squares"))
         open_tokens = cut(by_token.filter("comps > 1"))
-        left, entries = open_tokens.agg(F.coalesce(F.sum((F.col("members") * F.col("members") - F.col("squares")) / 2), F.lit(0.0)), F.coalesce(F.sum("members"), F.lit(0))).first()
+        left = open_tokens.agg(F.coalesce(F.sum((F.col("members") * F.col("members") - F.col("squares")) / 2), F.lit(0.0))).first()[0]
         if not left:
             break
-        exact = left <= max(FEW_PAIRS, FEW_EACH * entries) or turn == MOST_ROUNDS or last is not None and left > 0.9 * last
+        exact = left <= FEW_PAIRS or turn == MOST_ROUNDS or last is not None and left > 0.5 * last
         last = left
         live = posts.join(open_tokens.select("token"), "token", "left_semi")
         if exact:
-            y = live.select("token", *(F.col(c).alias(f"{c}_y") for c in ("id", "n", "matches", "comp")))
-            met = live.join(y, "token").filter((F.col("comp") < F.col("comp_y")) & (F.lit(den) * F.least("n", "n_y") >= F.lit(num) * F.greatest("n", "n_y")))
-            pairs = met.groupBy(F.least("id", "id_y").alias("x"), F.greatest("id", "id_y").alias("y")).agg(F.count("*").alias("hits"), F.min(F.least("matches", "matches_y")).alias("wanted")).filter("hits >= wanted").select("x", "y")
+            links = _pair_the_rest(cut(live.select("id", "comp", "token")), vertices, threshold)
         else:
             first = open_tokens.select("token", "first")
             other = by_comp.join(first, "token").filter("comp <> first.comp").groupBy("token").agg(F.min(F.struct("c.rank", "comp", "c.id", "c.n")).alias("second"))
@@ -300,8 +391,8 @@ def similar_components(vertices: DataFrame, threshold: tuple[int, int] = THRESHO
             hits = met.groupBy("id", F.col("to.id").alias("centre")).agg(F.count("*").alias("hits"))
             # The centre that a document matches most often.
             best = hits.groupBy("id").agg(F.max(F.struct("hits", "centre")).alias("best")).select("id", F.col("best.centre").alias("centre"))
-            pairs = best.select(F.least("id", "centre").alias("x"), F.greatest("id", "centre").alias("y")).distinct()
-        links = cut(_similar(pairs, vertices, threshold))
+            links = _similar(best.select(F.least("id", "centre").alias("x"), F.greatest("id", "centre").alias("y")).distinct(), vertices, threshold)
+        links = cut(links)
         if component is not None:
             links = links.unionByName(component.filter("node <> component").select(F.col("node").alias("x"), F.col("component").alias("y")))
         component = connected_components(links, "x", "y")
