@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -49,6 +52,18 @@ def text_or_empty(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
+def release_worker() -> None:
+    """Give back what a reused Python worker keeps from other operators' tasks: encoders' words, and free memory."""
+    for module, kept in (("tokens", "encoder"), ("pieces", "piece_encoder")):
+        if found := sys.modules.get(f"{__package__}.{module}"):
+            getattr(found, kept).cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
     """Inner join of ``rows`` with the one row that ``groups`` has for each ``key``; ``size`` is the group's row count.
 

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach_groups, cut, keep_only, text_or_empty
+from .common import attach_groups, cut, keep_only, release_worker, text_or_empty
 
 #: Runs that a merge takes at once: 2**BITS.
 BITS = 4
@@ -72,6 +72,7 @@ def _runs_table(parts: list[tuple[int, bytes, bytes]]) -> pa.Table:
 
 def _first_runs(nodes: int, sign: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker()
         best: dict[bytes, tuple] = {}
         for b in batches:
             for digest, i, n in zip(*(b.column(k).to_pylist() for k in range(3))):

@@ -20,6 +20,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import release_worker
+
 #: The sample: at most so many texts of a language, so many bytes of each from a place that its hash sets, and of all; at most so many languages, the most frequent ones.
 SAMPLE_TEXTS, SAMPLE_TEXT_BYTES, DICT_BYTES, MOST_LANGUAGES = 256, 2048, 112 << 10, 64
 #: Level 5 is the first whose match finder is thorough enough for dictionaries of this size.
@@ -98,6 +100,7 @@ def predict(model: LanguageModel, text: str | Column = "text") -> Column:
 
     @F.pandas_udf(RESULT)
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        release_worker()
         coders = model.coders()
         for s in texts:
             yield pd.DataFrame([classify(coders, x) for x in s], columns=["lang_pred", "score", "margin", "rejected"]).astype({"score": float, "margin": float, "rejected": bool, "lang_pred": object})

@@ -30,13 +30,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach_groups, cut, keep_only, text_or_empty
+from .common import attach_groups, cut, keep_only, release_worker, text_or_empty
 from .components import connected_components
 from .shingles import WORDS, batches_of, digests
 
 THRESHOLD = (80, 100)
 #: Text of a block; bits of a shingle's hash within its bucket (with a bucket's own, 54 or more in all).
-BLOCK_BYTES, LOW_BITS = 24 << 20, 48
+BLOCK_BYTES, LOW_BITS = 8 << 20, 48
 #: Prefixes match up to so often; verifying a pair costs as much as looking so many shingles up, and one more for each of its set's ``VERIFY_EACH``.
 MOST_MATCHES, VERIFY, VERIFY_EACH = 6, 4.0, 32
 #: Star rounds end when at most so many pairs are left, by shingle, or a round hasn't halved them; how far later rounds' centres are spread.
@@ -105,6 +105,7 @@ def _table(rows: list[tuple]) -> pa.Table:
 
 def _send_texts(bits: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker()
         part = TaskContext.get().partitionId()
         for k, (ids, hashes, bounds) in enumerate(batches_of(batches, BLOCK_BYTES)):
             n, dig = np.diff(bounds), digests(hashes, bounds)
@@ -121,6 +122,7 @@ def _send_texts(bits: int, words: int):
 
 def _send_sets(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker()
         part = TaskContext.get().partitionId()
         k = 0
         for b in batches:

@@ -105,7 +105,7 @@ def batches_of(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[l
     held = 0
     for b in batches:
         names, row = b.column(0).to_pylist(), 0
-        for texts in slices(b.column(1), 4 << 20):
+        for texts in slices(b.column(1), 1 << 20):
             for at in range(0, len(texts), 10_000):
                 some = texts.slice(at, 10_000)
                 hashes, bounds = shingle_sets(some)
