@@ -429,6 +429,110 @@ def tag_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots(spark, sf_dir).filter(F.col("tag").isin("2-HIGH", "5-LOW")).select("id", "revision")
 
 
+# ---------------------------------------------------------------- rows and reports
+
+
+@query(f"""WITH {STREAM} SELECT lang, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS bytes, max(end_chunk) + 1 AS n_chunks, max(length(CAST(size AS VARCHAR))) AS size_width FROM ranges GROUP BY lang""")
+def file_list_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files, bytes, chunks and the width of the size column of each listing."""
+    listed = _ranges(spark, sf_dir).withColumnRenamed("lang", "id").withColumn("revision", F.lit(1))
+    return stats.file_list_stats(listed).select(F.col("id").alias("lang"), "n_files", "bytes", "n_chunks", "size_width")
+
+
+@query(f"""WITH {FILES}, c AS (SELECT l.size, CASE WHEN r.path IS NULL THEN 'new' WHEN l.size = r.size AND abs(l.time - r.time) <= 1 THEN 'preserved' ELSE 'modified' END AS action FROM local l LEFT JOIN remote r USING (path))
+SELECT action, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS bytes FROM c GROUP BY action""")
+def backup_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files and bytes by what a backup does with them."""
+    return joins.backup_compare(local_files(spark, sf_dir), remote_files(spark, sf_dir)).groupBy("action").agg(F.count("*").alias("n_files"), F.sum("size").alias("bytes"))
+
+
+@query(f"""WITH {PIECES}, need AS (SELECT * FROM pieces), have AS (SELECT hash, "offset", size FROM pieces SEMI JOIN (SELECT path FROM f WHERE doc_id % 3 = 0) USING (path))
+SELECT path, seq, hash IN (SELECT hash FROM have) AS anywhere, (hash, "offset", size) IN (SELECT (hash, "offset", size) FROM have) AS same_place FROM need WHERE hash IN (SELECT hash FROM have)""")
+def reusable_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of a restore that local files hold, anywhere or at the same offset."""
+    f = files(spark, sf_dir)
+    need, have = chunking.fixed_chunks(f, PIECE), chunking.fixed_chunks(f.filter("doc_id % 3 = 0"), PIECE)
+    exact = joins.reusable_chunks(need, have, same_offset=True).select("path", "seq", F.lit(True).alias("same"))
+    found = joins.reusable_chunks(need, have).select("path", "seq")
+    return found.join(exact, ["path", "seq"], "left").select("path", "seq", F.lit(True).alias("anywhere"), F.coalesce("same", F.lit(False)).alias("same_place"))
+
+
+@query(f"""WITH {REFS} SELECT r.id, r.revision, tag, start_time, end_time, count(*) AS n_refs, count(DISTINCT chunk_id) AS n_chunks
+FROM refs r JOIN snap USING (id, revision) GROUP BY ALL""")
+def header_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers written as JSON with their chunk lists, parsed strictly, and read."""
+    lists = refs(spark, sf_dir).groupBy("id", "revision").agg(F.array_sort(F.collect_list(F.hex("chunk_id"))).alias("chunks"))
+    head = snapshots(spark, sf_dir).join(lists, ["id", "revision"])
+    text = head.select(F.to_json(F.struct("id", "revision", "tag", "start_time", "end_time", "chunks")).alias("j"))
+    parsed = text.select(F.from_json("j", "id string, revision int, tag string, start_time long, end_time long, chunks array<string>", {"mode": "FAILFAST"}).alias("h")).select("h.*")
+    return parsed.select("id", "revision", "tag", "start_time", "end_time", F.size("chunks").cast("long").alias("n_refs"), F.size(F.array_distinct("chunks")).cast("long").alias("n_chunks"))
+
+
+@query(f"""WITH {FILES} SELECT path, lpad(CAST(size AS VARCHAR), 9, ' ') || ' ' || strftime(make_timestamp(time * 1000000), '%Y-%m-%d %H:%M:%S') || ' ' || hash || ' ' || path AS line FROM remote""")
+def entry_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a listing's lines."""
+    f = remote_files(spark, sf_dir)
+    at = F.date_format(F.timestamp_seconds("time"), "yyyy-MM-dd HH:mm:ss")
+    return f.select("path", F.format_string("%9d %s %s %s", "size", at, "hash", "path").alias("line"))
+
+
+@query(f"""WITH {REFS}, n AS (SELECT chunk_id, sha256(CAST(chunk_id AS VARCHAR)) AS h, state FROM chunks)
+SELECT chunk_id, CASE WHEN chunk_id % 101 = 0 THEN 'tmp' WHEN chunk_id % 103 = 0 THEN 'unknown' ELSE state END AS state, h AS id FROM n""")
+def object_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored objects by name: what they are, and which chunk."""
+    c = chunks(spark, sf_dir).withColumn("h", F.sha2(F.col("chunk_id").cast("string"), 256))
+    name = F.concat(paths.chunk_path(F.col("h")), F.when(F.col("chunk_id") % 101 == 0, ".tmp").when(F.col("chunk_id") % 103 == 0, ".odd").when(F.col("state") == "fossil", ".fsl").otherwise(""))
+    named = c.withColumn("name", name)
+    return named.select("chunk_id", paths.object_state(F.col("name")).alias("state"), F.regexp_replace(paths.chunk_of_path(F.col("name")), r"\.odd$", "").alias("id"))
+
+
+@query(f"""WITH {STREAM} SELECT r.lang, r.doc_id, r.size = octet_length(encode(d.text)) AND start_chunk <= end_chunk AND start_offset < 4096 AND end_offset <= 4096 AS good FROM ranges r JOIN documents d USING (doc_id)""")
+def row_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3, V2: every entry's range is in order, within its chunks, and as long as the file."""
+    size = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("wanted"))
+    good = (F.col("size") == F.col("wanted")) & (F.col("start_chunk") <= F.col("end_chunk")) & (F.col("start_offset") < STREAM_CHUNK) & (F.col("end_offset") <= STREAM_CHUNK)
+    return _ranges(spark, sf_dir).join(size, "doc_id").select("lang", "doc_id", good.alias("good"))
+
+
+@query(f"""WITH {STREAM}, o AS (SELECT lang, seq, min(doc_id) AS first_doc, count(*) AS n_files, CAST(sum(stop - start) AS BIGINT) AS used FROM placed GROUP BY ALL)
+SELECT lang, seq, first_doc, n_files, used, row_number() OVER (PARTITION BY lang ORDER BY seq) AS place FROM o""")
+def read_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stream's chunks in the order in which a restore reads them, once each, with the files that need them."""
+    by_chunk = _placed(spark, sf_dir).groupBy("lang", "seq").agg(F.min("path").alias("first_doc"), F.count("*").alias("n_files"), F.sum(F.col("stop") - F.col("start")).alias("used"))
+    return by_chunk.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("seq")))
+
+
+@query(f"""WITH {SNAP}, n AS (SELECT id, revision, end_time - start_time AS s FROM snap)
+SELECT id, revision, CASE WHEN s > 172800 THEN (s // 86400) || ' days ' WHEN s > 86400 THEN '1 day ' ELSE '' END || lpad(CAST(s % 86400 // 3600 AS VARCHAR), 2, '0') || ':' || lpad(CAST(s % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') AS took,
+CASE WHEN s > 1048576 THEN printf('%.2fM', s / 1048576.0) WHEN s > 1024 THEN printf('%.0fK', s / 1024.0) ELSE CAST(s AS VARCHAR) END AS as_size FROM n""")
+def pretty_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """durations and sizes as text."""
+    took = F.col("end_time") - F.col("start_time")
+    return snapshots(spark, sf_dir).select("id", "revision", formats.pretty_time(took).alias("took"), formats.pretty_size(took).alias("as_size"))
+
+
+@query(f"WITH {SNAP} SELECT split_part(id, '@', 2) AS host, count(DISTINCT id) AS n_ids, max(end_time) AS last_end FROM snap GROUP BY ALL")
+def host_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and last end time of each host."""
+    s = snapshots(spark, sf_dir).groupBy("id").agg(F.max("end_time").alias("end_time"))
+    return s.groupBy(paths.host_of(F.col("id")).alias("host")).agg(F.count("*").alias("n_ids"), F.max("end_time").alias("last_end"))
+
+
+@query("""SELECT user_id, ts, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY ts) AS k FROM (SELECT * FROM events UNION ALL SELECT * FROM events)) WHERE k = 1""")
+def events_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated rows of a listing or stream, each once."""
+    e = table(spark, sf_dir, "events")
+    return windows.without_repeats(e.unionByName(e)).select("user_id", "ts", "event_id")
+
+
+@query("SELECT conv_id, sha256(string_agg(text, '' ORDER BY turn)) AS hash, CAST(sum(octet_length(encode(text))) AS BIGINT) AS size FROM conversations GROUP BY conv_id")
+def sequence_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of a sequence joined in order, and their hash."""
+    c = table(spark, sf_dir, "conversations")
+    whole = chunking.ordered_checksum(c, ["conv_id"], "turn", "text").withColumnRenamed("checksum", "hash")
+    return whole.join(c.groupBy("conv_id").agg(F.sum(F.octet_length("text")).alias("size")), "conv_id")
+
+
 # ---------------------------------------------------------------- scalars
 
 

@@ -120,3 +120,22 @@ def test_repository_source_and_urls(spark, tmp_path):
         resolve("webdav://x")
     with pytest.raises(ValueError):
         resolve("foo://x")
+
+
+def test_preferences(tmp_path):
+    from chunkmere.sources import preferences as pref
+
+    repo = str(tmp_path / "r")
+    os.makedirs(repo)
+    assert pref.load(repo) == [] and pref.find([]) is None
+    a, b = pref.Preference("default", "me", "/s"), pref.Preference("cloud", "me", "s3://x", keys={"k": "v"})
+    pref.put(repo, a)
+    pref.put(repo, b)
+    assert pref.load(repo) == [a, b] and pref.find([a, b]) is a and pref.find([a, b], "s3://x") is b and pref.find([a, b], "?") is None
+    b.no_restore = True
+    assert pref.put(repo, b) == [a, b]
+    other = str(tmp_path / "linked")
+    os.makedirs(other)
+    with open(os.path.join(other, ".chunkmere"), "w") as f:
+        f.write(os.path.join(repo, ".chunkmere"))
+    assert pref.load(other) == [a, b]
