@@ -14,10 +14,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of an Arrow batch that goes to Python.
+BATCH_BYTES = 8 << 20
 #: Rows that a broadcast side may have; larger sides are shuffled.
 BROADCAST_ROWS = 200_000
 #: A group is hot when it holds more than one row in so many; there can't be more such groups than this.
 HOT_SHARE = 1000
+#: Parts of a sorted table, at most; the driver holds a number for each.
+MOST_PARTS = 8192
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,20 +52,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches that go to Python more closely than Spark's default, where the session leaves that: rows may be very long texts."""
+    key, default = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+    if spark.conf.get(key) == default:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def text_or_empty(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
-def release_worker() -> None:
-    """Give back what a reused Python worker keeps from other operators' tasks: encoders' words, and free memory."""
+def release_worker(keep: str = "") -> None:
+    """Give back what a reused Python worker holds from other operators' tasks: free memory, and encoders' words but for ``keep``'s."""
     for module, kept in (("tokens", "encoder"), ("pieces", "piece_encoder")):
-        if found := sys.modules.get(f"{__package__}.{module}"):
+        if module != keep and (found := sys.modules.get(f"{__package__}.{module}")):
             getattr(found, kept).cache_clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-    if trim:
-        trim(0)
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):  # glibc: large arrays get pages of their own, which go back when they are freed
+        libc.mallopt(-3, 4 << 20)
+        libc.malloc_trim(0)
 
 
 def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
@@ -114,13 +126,12 @@ def in_order(rows: DataFrame, by: list[str], weight: Column) -> DataFrame:
 
     Rows are dealt to parts by range; each part is summed, then the parts (a fixed number) are.
     """
-    parts = max(2, rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions())
+    parts = min(MOST_PARTS, max(2, rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()))
     laid = rows.withColumn("weight", weight.cast("long")).repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("part", F.spark_partition_id())
     laid = cut(_run_totals(laid))
-    sums, total = {}, 0
+    starts, total = [], 0
     for r in laid.groupBy("part").agg(F.sum("weight").alias("w")).orderBy("part").collect():
-        sums[r["part"]], total = total, total + r["w"]
-    if not sums:
-        return laid.withColumn("before", F.lit(0).cast("long")).drop("part", "in_part", "weight")
-    starts = F.create_map(*(F.lit(x).cast("long") for kv in sums.items() for x in kv))
-    return laid.withColumn("before", F.col("in_part") + starts[F.col("part").cast("long")]).drop("part", "in_part", "weight")
+        starts.append((r["part"], total))
+        total += r["w"]
+    held = rows.sparkSession.createDataFrame(starts or [(-1, 0)], "part int, part_start long")
+    return laid.join(F.broadcast(held), "part").withColumn("before", F.col("in_part") + F.col("part_start")).drop("part", "part_start", "in_part", "weight")

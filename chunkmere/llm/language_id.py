@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import release_worker
+from .common import bound_batches, release_worker
 
 #: The sample: at most so many texts of a language, so many bytes of each from a place that its hash sets, and of all; at most so many languages, the most frequent ones.
 SAMPLE_TEXTS, SAMPLE_TEXT_BYTES, DICT_BYTES, MOST_LANGUAGES = 256, 2048, 112 << 10, 64
@@ -74,6 +74,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     how rows are dealt to partitions, and equal texts count once.
     """
     text = F.col(text_col)
+    bound_batches(labelled.sparkSession)
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), text.alias("text"), F.xxhash64(text).alias("h")).filter(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}")
     )

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import bound_batches, text_or_empty
 
 #: Payloads are padded to a multiple of this; samples a second.
 UNIT, PAD, RATE = 576, 255, 8000
@@ -120,5 +120,6 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 rows = [describe(x.as_buffer().to_pybytes(), keep_media) for x in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[i] for r in rows], types.get(n, pa.int64())) for i, n in enumerate(names))], ["id", *names])
 
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     return rows.mapInArrow(run, f"id long, {MEDIA}").withColumnRenamed("id", id_col)

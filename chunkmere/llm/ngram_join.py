@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach_groups, cut, keep_only, release_worker, text_or_empty
+from .common import attach_groups, bound_batches, cut, keep_only, release_worker, text_or_empty
 from .components import connected_components
 from .shingles import WORDS, batches_of, digests
 
@@ -414,6 +414,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are one vertex; a null id has a null component and links with nothing; an empty table gives no
     rows; other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     named = rows.filter("id is not null")
     all_docs, copies, vertices = candidate_vertices(named, threshold, words)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, in_order, text_or_empty
+from .common import bound_batches, cut, in_order, release_worker, text_or_empty
 from .tokens import encoder, slices
 
 LENGTH, QUANTUM = 2048, 8
@@ -181,10 +181,11 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGT
     """Each document's pieces (PIECES): whole texts (null: empty) encoded, ``end_id`` after them, cut at every ``length`` ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker(keep="tokens")
         made = encoder(tokenizer)
         for b in batches:
             names, row = b.column(0).to_pylist(), 0
-            for texts in slices(b.column(1)):
+            for texts in slices(b.column(1), 4 << 20):
                 ids, bounds = made.encode(texts)
                 raw, bounds, out = memoryview(ids.astype("<u4").tobytes()), bounds.tolist(), []
                 end = int(end_id).to_bytes(4, "little")
@@ -198,6 +199,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGT
                     row += 1
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], [x.split()[0] for x in PIECES.split(", ")])
 
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     return rows.mapInArrow(run, PIECES)
 

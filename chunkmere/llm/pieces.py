@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import bound_batches, text_or_empty
 from .shingles import _BASE, _BYTE, _INVERSE, mix, powers
 from .tokens import WordEncoder, ragged, slices
 
@@ -327,6 +327,7 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
                 )
                 row += len(texts)
 
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 

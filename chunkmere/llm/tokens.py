@@ -140,8 +140,8 @@ class TextEncoder(WordEncoder):
         return [np.array(x, np.uint32) for x in self._library(texts)]
 
     def _library(self, texts: list[str]) -> Iterator[list[int]]:
-        for i in range(0, len(texts), 4096):
-            for x in self.tokenizer.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False):
+        for i in range(0, len(texts), 64):
+            for x in self.tokenizer.encode_batch_fast(texts[i : i + 64], add_special_tokens=False):
                 yield x.ids
 
     def _encode_words(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:

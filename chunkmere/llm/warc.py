@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, attach_groups, cut, shared_path, text_or_empty
+from .common import BROADCAST_ROWS, attach_groups, bound_batches, cut, shared_path, text_or_empty
 
 SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528
 #: Raw bytes after which an archive is closed, and of its dictionary; the dictionary is fitted on at most so many of its records.
@@ -267,6 +267,7 @@ def crawl_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 def archive_round_trip(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write a record for each page, read the archives back: ``record_id, target_uri, record_type, refers_to, payload_bytes, payload_digest``."""
     spark = pages.sparkSession
+    bound_batches(spark)
     path = shared_path(spark, "warc")
     write_archives(crawl_records(pages, id_col, url_col, html_col, least_bytes), path)
     return read_archives(spark, path, payload=False)
