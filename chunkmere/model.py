@@ -35,9 +35,9 @@ class Config:
     max_chunk_size: int = 16 << 20
     min_chunk_size: int = 1 << 20
     compression_level: int = 100
-    chunk_seed: bytes = b"duplicacy"
-    hash_key: bytes = b"duplicacy"
-    id_key: bytes = b"duplicacy"
+    chunk_seed: bytes = b"chunkmere"
+    hash_key: bytes = b"chunkmere"
+    id_key: bytes = b"chunkmere"
     data_shards: int = 0
     parity_shards: int = 0
 

@@ -36,7 +36,7 @@ def rolling_table(seed: bytes) -> np.ndarray:
     return np.concatenate(out)
 
 
-def cut_points(data: bytes, average: int, largest: int, smallest: int, seed: bytes = b"duplicacy") -> list[int]:
+def cut_points(data: bytes, average: int, largest: int, smallest: int, seed: bytes = b"chunkmere") -> list[int]:
     """Where the chunks of a byte stream end.
 
     The cyclic-polynomial hash of the last ``smallest`` bytes, for all positions at once: each byte's
@@ -70,7 +70,7 @@ def cut_points(data: bytes, average: int, largest: int, smallest: int, seed: byt
     return out
 
 
-def content_chunks(files: DataFrame, average: int, largest: int, smallest: int, seed: bytes = b"duplicacy", hash_key: bytes = b"duplicacy", keep: bool = False) -> DataFrame:
+def content_chunks(files: DataFrame, average: int, largest: int, smallest: int, seed: bytes = b"chunkmere", hash_key: bytes = b"chunkmere", keep: bool = False) -> DataFrame:
     """``path, seq, offset, size, hash`` of content-defined chunks of each file, by itself.
 
     Files are chunked in parallel, so a chunk doesn't go from one file into the next.

@@ -77,6 +77,6 @@ def without_marked(entries: DataFrame, marker: str) -> DataFrame:
     return entries.join(inside, "path", "left_anti")
 
 
-def without_attribute(entries: DataFrame, name: str = "duplicacy_exclude") -> DataFrame:
+def without_attribute(entries: DataFrame, name: str = "chunkmere_exclude") -> DataFrame:
     """Entries whose extended attributes don't ask to be left out."""
     return entries.filter(~F.coalesce(F.map_contains_key("attributes", name), F.lit(False)))

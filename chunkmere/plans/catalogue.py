@@ -315,8 +315,8 @@ def cdc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def blake2_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """hash, id and file hash of every document."""
-    h = files(spark, sf_dir).select("doc_id", hashing.chunk_hash(F.col("content"), b"duplicacy").alias("hash"), hashing.content_hash(F.col("content")).alias("file_hash"))
-    return h.withColumn("chunk_id", hashing.chunk_id(F.col("hash"), b"duplicacy")).withColumn("object", paths.chunk_path(F.col("chunk_id")))
+    h = files(spark, sf_dir).select("doc_id", hashing.chunk_hash(F.col("content"), b"chunkmere").alias("hash"), hashing.content_hash(F.col("content")).alias("file_hash"))
+    return h.withColumn("chunk_id", hashing.chunk_id(F.col("hash"), b"chunkmere")).withColumn("object", paths.chunk_path(F.col("chunk_id")))
 
 
 # ---------------------------------------------------------------- collection
