@@ -18,24 +18,32 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_path, text_or_empty
+from .common import bound_batches, shared_path, text_or_empty
 from .tokens import encoder, slices
 
 MAGIC = b"CMS8\x01\0\0\0"
 BLOCK_IDS, FILE_IDS = 1 << 16, 1 << 20
+#: Ranges of document ids, at most; each is sorted by one task, on disk where it must be.
+MOST_RANGES = 1 << 14
 #: How many values of which width each selector packs; 0 is the escape.
 COUNTS = np.array([0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 0])
 WIDTHS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 0])
 FILES = "range_no int, file_no int, n_ids long, content binary"
 
 
+_BITS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
+
+
 def _bits(v: np.ndarray) -> np.ndarray:
     """Bits that each value takes."""
-    if not len(v) or int(v.max()) < 1 << 32:
+    if not len(v) or int(v.max()) < 1 << 16:
+        return _BITS[v]
+    if int(v.max()) < 1 << 32:
         return np.frexp(v.astype(np.float64))[1].astype(np.uint8)
     high = v >> np.uint64(32)
     return np.where(high > 0, np.frexp(high.astype(np.float64))[1] + 32, np.frexp((v & np.uint64(0xFFFFFFFF)).astype(np.float64))[1]).astype(np.uint8)
@@ -75,8 +83,11 @@ def pack(values: np.ndarray) -> np.ndarray:
         own = sel == k
         if own.any():
             c, b = int(COUNTS[k]), int(WIDTHS[k])
-            held = v[starts[own][:, None] + np.arange(c)] << (np.arange(c, dtype=np.uint64) * np.uint64(b))
-            words[place[own]] = np.bitwise_or.reduce(held, axis=1) | np.uint64(k) << np.uint64(60)
+            begin = starts[own]
+            held = v[begin] | np.uint64(k) << np.uint64(60)
+            for i in range(1, c):
+                held |= v[begin + i] << np.uint64(b * i)
+            words[place[own]] = held
     return words
 
 
@@ -184,18 +195,30 @@ def _writer(path: str, end_id: int, file_ids: int):
     return run
 
 
+def _range_of(id_col: Column, bounds: list[int]) -> Column:
+    """How many bounds lie below an id: in the JVM while they are few, else by a binary search."""
+    if len(bounds) <= 128:
+        return F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<long>"), lambda x: x < id_col))
+    held = np.array(bounds, np.int64)
+
+    @F.pandas_udf("int")
+    def run(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(held, ids.fillna(0).to_numpy(np.int64), "left").astype(np.int32))
+
+    return run(id_col)
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None, file_ids: int = FILE_IDS) -> None:
     """Encode whole texts (null: empty), each with ``end_id`` after it, to the table of files at ``path``.
 
     Documents are in ascending order of id, null ids first; rows that share an id are in the order of
     their texts.  An empty table gives a table without files.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    ranges = ranges or max(1, docs.rdd.getNumPartitions())
+    ranges = ranges or min(MOST_RANGES, max(1, docs.rdd.getNumPartitions()))
     bounds = sorted(set(rows.stat.approxQuantile("id", [i / ranges for i in range(1, ranges)], 0.1 / ranges))) if ranges > 1 else []
-    cuts = F.array(*(F.lit(int(x)).cast("long") for x in bounds)) if bounds else F.array().cast("array<long>")
-    # Ids up to the first bound are in range 0, and so on.
-    number = F.coalesce(F.size(F.filter(cuts, lambda x: x < F.col("id"))), F.lit(0))
+    number = _range_of(F.col("id"), [max(-(1 << 63), min((1 << 63) - 1, int(x))) for x in bounds])
     dealt = rows.select(F.when(F.col("id").isNull(), 0).otherwise(number).cast("int").alias("range_no"), "id", "text")
     dealt = dealt.repartitionById(len(bounds) + 1, F.col("range_no")).sortWithinPartitions("range_no", F.col("id").asc_nulls_first(), "text")
     dealt.mapInArrow(_writer(tokenizer, end_id, file_ids), FILES).write.option("compression", "uncompressed").parquet(path)
