@@ -28,6 +28,8 @@ from .common import bound_batches, cut, in_order, release_worker, text_or_empty
 from .tokens import encoder, slices
 
 LENGTH, QUANTUM = 2048, 8
+#: Words that a worker keeps: fewer than an encoder alone would, since other stages of a pipeline use its memory too.
+CACHED = 200_000
 #: The program ends when its value is within this share, or within one sequence, of the dual bound.
 GAP = 5e-4
 PIECES = "id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -182,10 +184,10 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_worker(keep="tokens")
-        made = encoder(tokenizer)
+        made = encoder(tokenizer, CACHED)
         for b in batches:
             names, row = b.column(0).to_pylist(), 0
-            for texts in slices(b.column(1), 4 << 20):
+            for texts in slices(b.column(1), 2 << 20):
                 ids, bounds = made.encode(texts)
                 raw, bounds, out = memoryview(ids.astype("<u4").tobytes()), bounds.tolist(), []
                 end = int(end_id).to_bytes(4, "little")

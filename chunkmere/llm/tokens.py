@@ -51,6 +51,7 @@ class WordEncoder:
     odd: str
     #: Whether a text's first word has a space before it like the others.
     first_spaced = False
+    cached = CACHED
 
     def __init__(self) -> None:
         self.slots: dict[str, int] = {}
@@ -65,7 +66,7 @@ class WordEncoder:
         raise NotImplementedError
 
     def _slots(self, words: pa.StringArray) -> np.ndarray:
-        """Places of distinct words in the pool.  Once CACHED words are kept, others stay for this call only."""
+        """Places of distinct words in the pool.  Once ``cached`` words are kept, others stay for this call only."""
         self.used, n = self.kept_used, len(self.slots)
         found = np.fromiter(map(self.slots.get, words.to_pylist(), repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(found < 0)
@@ -80,7 +81,7 @@ class WordEncoder:
         self.pool[self.used : self.used + len(ids)] = ids
         self.starts[n + 1 : n + 1 + len(new)] = self.used + np.cumsum(counts)
         found[missing] = np.arange(n, n + len(new))
-        keep = max(0, min(len(new), CACHED - n))
+        keep = max(0, min(len(new), self.cached - n))
         self.slots.update(zip(new.slice(0, keep).to_pylist(), range(n, n + keep)))
         self.kept_used = int(self.starts[len(self.slots)])
         return found
@@ -167,7 +168,9 @@ class TextEncoder(WordEncoder):
         return np.concatenate([ids, *own])[ragged(starts, every)], every
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> TextEncoder:
-    """This worker's encoder for the vocabulary at ``path``."""
-    return TextEncoder(path)
+@lru_cache(maxsize=1)
+def encoder(path: str, cached: int = CACHED) -> TextEncoder:
+    """This worker's encoder for the vocabulary at ``path``, which keeps so many words."""
+    made = TextEncoder(path)
+    made.cached = cached
+    return made
