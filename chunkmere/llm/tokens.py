@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words that a worker keeps; words that are encoded as one text; bytes of text that are encoded at once.
-CACHED, JOINED, SLICE_BYTES = 600_000, 500, 8 << 20
+CACHED, JOINED, SLICE_BYTES = 600_000, 500, 4 << 20
 _SPACE = r"[\t-\r\x1c- \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _ODD = f"{_SPACE} (?:{_SPACE}|$)"
 _PLAIN = f"^ (?s:.*)[^{_SPACE[1:]}$"
