@@ -175,7 +175,7 @@ def _writer(path: str, end_id: int, file_ids: int):
         for b in batches:
             ranges, names = b.column(0).to_pylist(), b.column(1).to_pylist()
             row = 0
-            for texts in slices(b.column(2)):
+            for texts in slices(b.column(2), 8 << 20):
                 ids, bounds = made.encode(texts)
                 bounds = bounds.tolist()
                 for i in range(len(texts)):
