@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, release_worker
 
-#: The sample: at most so many texts of a language, so many bytes of each from a place that its hash sets, and of all; at most so many languages, the most frequent ones.
-SAMPLE_TEXTS, SAMPLE_TEXT_BYTES, DICT_BYTES, MOST_LANGUAGES = 256, 2048, 112 << 10, 64
+#: The sample: at most so many texts of a language, so many bytes of each from a place that its hash sets, and of all.
+SAMPLE_TEXTS, SAMPLE_TEXT_BYTES, DICT_BYTES = 256, 2048, 112 << 10
 #: Level 5 is the first whose match finder is thorough enough for dictionaries of this size.
 LEVEL, BLOCK_BYTES = 5, 2048
 #: The runner-up must need this share more bytes, else the text is rejected; a lead of this share halves the runner-up's weight in the score.
@@ -70,7 +70,7 @@ def classify(coders: dict[str, zstandard.ZstdCompressor], text: str | None) -> t
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """A model from rows with a language; those without a text, letters or language are passed over.
 
-    Counts cover all rows; the sample is the texts with the smallest hashes, so it doesn't depend on
+    Every language is learned, however few rows it has.  Counts cover all rows; the sample is the texts with the smallest hashes, so it doesn't depend on
     how rows are dealt to partitions, and equal texts count once.
     """
     text = F.col(text_col)
@@ -78,7 +78,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), text.alias("text"), F.xxhash64(text).alias("h")).filter(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}")
     )
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return LanguageModel({})
     # Enough rows by hash that the wanted number is sure to be among them where there are many copies.

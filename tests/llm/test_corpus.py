@@ -100,6 +100,21 @@ def test_language_of_odd_rows(odd, docs):
     assert classify(one.coders(), "the words")[2:] == (1.0, False)
 
 
+def invented(lang, i, words=300):
+    """A text of the language's own words."""
+    rng = np.random.default_rng([lang, i])
+    own = ["".join(x) for x in np.random.default_rng([lang]).choice(list("abcdefghijklmnopqrstuvwxyz"), (200, 6))]
+    return " ".join(rng.choice(own, words))
+
+
+def test_every_language_is_learned(spark):
+    rows = [(f"l{lang:02}", invented(lang, i)) for lang in range(70) for i in range(2 if lang > 60 else 4)]
+    model = fit(spark.createDataFrame(rows, "lang string, text string"))
+    assert set(model.dictionaries) == {f"l{lang:02}" for lang in range(70)}
+    coders = model.coders()
+    assert all(classify(coders, invented(lang, 9))[0] == f"l{lang:02}" for lang in range(70))
+
+
 def test_hosts_and_keys(spark):
     rows = [("https://U:p@Blog.A.example.com:8080/x/y?q#f",), ("http://h.org",), ("nothing",), (None,), ("ftp://a.b./c//d",)]
     got = [(r.h, [tuple(k) for k in r.k]) for r in spark.createDataFrame(rows, "url string").select(host_of(F.col("url")).alias("h"), keys_of(F.col("url")).alias("k")).collect()]
