@@ -15,12 +15,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, release_worker
+from .common import BROADCAST_ROWS, bound_batches, cut, release_worker
 
 #: The sample: at most so many texts of a language, so many bytes of each from a place that its hash sets, and of all.
 SAMPLE_TEXTS, SAMPLE_TEXT_BYTES, DICT_BYTES = 256, 2048, 112 << 10
@@ -30,6 +31,7 @@ LEVEL, BLOCK_BYTES = 5, 2048
 NARROW, HALVING = 0.002, 0.02
 UNKNOWN = "und"
 RESULT = "lang_pred string, score double, margin double, rejected boolean"
+PARTS = "lang string, k int, part string"
 
 _REST = regex.compile(r"[^\p{L}\p{M}]+")
 _LETTER = regex.compile(r"\p{L}")
@@ -67,31 +69,46 @@ def classify(coders: dict[str, zstandard.ZstdCompressor], text: str | None) -> t
     return sizes[0][1], 1.0 / weights, margin, margin < NARROW
 
 
+def _first_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each text of the sample: a task passes on the first copy that it meets, so copies aren't shuffled."""
+    met: set[tuple[str, int]] = set()
+    for b in batches:
+        keep = []
+        for i, key in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+            if key not in met:
+                met.add(key)
+                keep.append(i)
+        yield b.take(pa.array(keep, pa.int64()))
+
+
+def _joined(group: pa.Table) -> pa.Table:
+    """One language's sample as bytes, in order of ``k``."""
+    group = group.sort_by("k")
+    raw = b"".join(map(letters, group["part"].to_pylist()))[:DICT_BYTES]
+    return pa.table({"lang": group["lang"].slice(0, 1), "raw": pa.array([raw], pa.binary())})
+
+
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """A model from rows with a language; those without a text, letters or language are passed over.
 
-    Every language is learned, however few rows it has.  Counts cover all rows; the sample is the texts with the smallest hashes, so it doesn't depend on
-    how rows are dealt to partitions, and equal texts count once.
+    Every language is learned, however few rows it has.  Its sample is the distinct texts with the
+    smallest hashes, so it depends neither on how many copies they have nor on how rows are dealt to
+    partitions; equal texts count once.
     """
     text = F.col(text_col)
     bound_batches(labelled.sparkSession)
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), text.alias("text"), F.xxhash64(text).alias("h")).filter(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}")
     )
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return LanguageModel({})
-    # Enough rows by hash that the wanted number is sure to be among them where there are many copies.
-    share = F.create_map(*(x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 16 * SAMPLE_TEXTS / n)))))[F.col("lang")]
-    near = rows.filter(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20)).dropDuplicates(["lang", "h"])
     order = Window.partitionBy("lang").orderBy("h")
+    near = cut(rows.select("lang", "h").distinct().withColumn("k", F.row_number().over(order)).filter(F.col("k") <= SAMPLE_TEXTS))
+    if near.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        near = F.broadcast(near)
     start = F.expr(f"1 + pmod(shiftright(h, 20), greatest(1, length(text) - {SAMPLE_TEXT_BYTES}))").cast("int")
-    sample = near.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= SAMPLE_TEXTS).select("lang", "k", F.substring("text", start, F.lit(SAMPLE_TEXT_BYTES)).alias("part"))
-    parts: dict[str, list[bytes]] = {}
-    for r in sorted(sample.collect(), key=lambda r: (r["lang"], r["k"])):
-        parts.setdefault(r["lang"], []).append(letters(r["part"]))
+    parts = rows.join(near, ["lang", "h"]).select("lang", "k", F.substring("text", start, F.lit(SAMPLE_TEXT_BYTES)).alias("part"))
+    sample = parts.mapInArrow(_first_copies, PARTS).dropDuplicates(["lang", "k"])
+    whole = {r["lang"]: bytes(r["raw"]) for r in sample.groupBy("lang").applyInArrow(_joined, "lang string, raw binary").collect()}
     # All dictionaries have the same length, so that none has more to offer.
-    whole = {lang: b"".join(x) for lang, x in parts.items()}
     least = min([DICT_BYTES, *(len(x) for x in whole.values() if len(x) >= 4096)])
     return LanguageModel({lang: x[:least] for lang, x in whole.items()})
 

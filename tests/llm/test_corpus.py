@@ -115,6 +115,14 @@ def test_every_language_is_learned(spark):
     assert all(classify(coders, invented(lang, 9))[0] == f"l{lang:02}" for lang in range(70))
 
 
+def test_copies_do_not_crowd_out_a_language(spark):
+    texts = [invented(1, i, 20) for i in range(101)]
+    once = spark.createDataFrame([("aa", x) for x in texts[1:]], "lang string, text string")
+    copies = spark.range(30000).select(F.lit("aa").alias("lang"), F.lit(texts[0]).alias("text"))
+    raw = fit(copies.unionByName(once)).dictionaries["aa"]
+    assert all(raw.count(f" {x} ".encode()) == 1 for x in texts)
+
+
 def test_hosts_and_keys(spark):
     rows = [("https://U:p@Blog.A.example.com:8080/x/y?q#f",), ("http://h.org",), ("nothing",), (None,), ("ftp://a.b./c//d",)]
     got = [(r.h, [tuple(k) for k in r.k]) for r in spark.createDataFrame(rows, "url string").select(host_of(F.col("url")).alias("h"), keys_of(F.col("url")).alias("k")).collect()]
