@@ -43,13 +43,16 @@ def letters(text: str) -> bytes:
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Raw-content dictionaries by language."""
+    """Raw-content dictionaries by language, each as long as its sample; no language's length bears on another's."""
 
     dictionaries: dict[str, bytes]
 
     def coders(self) -> dict[str, zstandard.ZstdCompressor]:
+        """A shorter dictionary is repeated to the longest's length, as the coder's settings and the cost of distances depend on it."""
         out = {}
+        most = max(map(len, self.dictionaries.values()), default=0)
         for lang, raw in sorted(self.dictionaries.items()):
+            raw = (raw * (most // max(1, len(raw)) + 1))[:most]
             d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=LEVEL)
             out[lang] = zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
@@ -107,10 +110,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     start = F.expr(f"1 + pmod(shiftright(h, 20), greatest(1, length(text) - {SAMPLE_TEXT_BYTES}))").cast("int")
     parts = rows.join(near, ["lang", "h"]).select("lang", "k", F.substring("text", start, F.lit(SAMPLE_TEXT_BYTES)).alias("part"))
     sample = parts.mapInArrow(_first_copies, PARTS).dropDuplicates(["lang", "k"])
-    whole = {r["lang"]: bytes(r["raw"]) for r in sample.groupBy("lang").applyInArrow(_joined, "lang string, raw binary").collect()}
-    # All dictionaries have the same length, so that none has more to offer.
-    least = min([DICT_BYTES, *(len(x) for x in whole.values() if len(x) >= 4096)])
-    return LanguageModel({lang: x[:least] for lang, x in whole.items()})
+    return LanguageModel({r["lang"]: bytes(r["raw"]) for r in sample.groupBy("lang").applyInArrow(_joined, "lang string, raw binary").collect()})
 
 
 def predict(model: LanguageModel, text: str | Column = "text") -> Column:

@@ -123,6 +123,17 @@ def test_copies_do_not_crowd_out_a_language(spark):
     assert all(raw.count(f" {x} ".encode()) == 1 for x in texts)
 
 
+def test_short_sample_leaves_other_languages_whole(spark):
+    rows = [(f"l{lang}", invented(lang, i, 250)) for lang, n in ((1, 40), (2, 40), (3, 3)) for i in range(n)]
+    model = fit(spark.createDataFrame(rows, "lang string, text string"))
+    size = {lang: len(x) for lang, x in model.dictionaries.items()}
+    assert 4096 < size["l3"] < 10000 and min(size["l1"], size["l2"]) > 60000
+    without = fit(spark.createDataFrame([r for r in rows if r[0] != "l3"], "lang string, text string"))
+    assert all(without.dictionaries[lang] == model.dictionaries[lang] for lang in ("l1", "l2"))
+    coders = model.coders()
+    assert all(classify(coders, invented(lang, 99, words))[0] == f"l{lang}" for lang in (1, 2, 3) for words in (10, 900))
+
+
 def test_hosts_and_keys(spark):
     rows = [("https://U:p@Blog.A.example.com:8080/x/y?q#f",), ("http://h.org",), ("nothing",), (None,), ("ftp://a.b./c//d",)]
     got = [(r.h, [tuple(k) for k in r.k]) for r in spark.createDataFrame(rows, "url string").select(host_of(F.col("url")).alias("h"), keys_of(F.col("url")).alias("k")).collect()]
