@@ -183,3 +183,11 @@ def test_peaks_find_tones():
     assert found[:, :2].all() and (bins[:, 0] == 40).all() and (bins[:, 1] == 90).all()
     codes = media.fingerprint(bins[:, :2], found[:, :2])
     assert {(c >> 16 & 0xFFFF, c >> 4 & 0xFFF) for c in codes.tolist()} == {(40, 40), (40, 90), (90, 40), (90, 90)}
+
+
+def test_pages_of_one_id_with_different_payloads(spark):
+    rows = [(1, "<a>"), (1, "<only here>"), (9, "<a>"), (2, "<c>"), (2, "<d>"), (7, "<c>"), (10, "<d>")]
+    out = warc.crawl_records(spark.createDataFrame([(i, "http://h", x) for i, x in rows], "page_id long, url string, html string")).collect()
+    name = "urn:x-page:{}".format
+    want = {(1, "<a>"): name(9), (1, "<only here>"): None, (9, "<a>"): None, (2, "<c>"): name(7), (2, "<d>"): name(10), (7, "<c>"): None, (10, "<d>"): None}
+    assert sorted((r.record_id, bytes(r.payload).decode(), r.refers_to or "") for r in out) == sorted((name(i), x, to or "") for (i, x), to in want.items())
