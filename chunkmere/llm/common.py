@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     held = sc._jsc.sc().getCheckpointDir()
     if held.isEmpty():
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="chunkmere-"))
         held = sc._jsc.sc().getCheckpointDir()
     return held.get().rstrip("/")
@@ -52,6 +55,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def forget(*cuts: DataFrame) -> None:
+    """Delete what :func:`cut` wrote for these frames.  Only once nothing is computed from them any more."""
+    for df in cuts:
+        sc = df.sparkSession.sparkContext
+        rdd = df._jdf.queryExecution().logical().rdd()
+        if rdd.getCheckpointFile().isDefined():
+            path = sc._jvm.org.apache.hadoop.fs.Path(rdd.getCheckpointFile().get())
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches that go to Python more closely than Spark's default, where the session leaves that: rows may be very long texts."""
     key, default = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
@@ -76,6 +89,17 @@ def release_worker(keep: str = "") -> None:
         libc.malloc_trim(0)
 
 
+_task: list[int] = [-1]
+
+
+def release_once(keep: str = "") -> None:
+    """:func:`release_worker` for functions that are called for each group: at a task's first."""
+    now = TaskContext.get()
+    if now is not None and now.taskAttemptId() != _task[0]:
+        _task[0] = now.taskAttemptId()
+        release_worker(keep)
+
+
 def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
     """Inner join of ``rows`` with the one row that ``groups`` has for each ``key``; ``size`` is the group's row count.
 

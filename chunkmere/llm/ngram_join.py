@@ -13,11 +13,12 @@ answer each block with the shingles that another document has too.  Shingles of
 come first in its order and can't match, so a document that shares less than ``o`` with all others
 together is done.  What remains is counted once more among itself, with one document for each set.
 
-Pairs aren't emitted within a group.  Every document that matches is first verified against one centre
-(a document of another component that has one of its prefix shingles and few of its own), and the
-links are joined to components.  Such star rounds go on while they halve the number of pairs that are
-in different components yet match.  Those that are left are met block by block: a task compares two
-blocks of documents whole and gives out only the links that join components.  No pair is left out.
+Pairs aren't emitted within a group.  Where large families share prefix shingles, every document that
+matches is first verified against one centre (a document of another component that has one of its
+prefix shingles and few of its own), and the links are joined to components.  Such star rounds go on
+while they halve the number of pairs that are in different components yet match.  Those that are left
+are met block by block: a task compares two blocks of documents whole, verifies the pairs that match
+often enough, and gives out only the links that join components.  No pair is left out.
 """
 
 from __future__ import annotations
@@ -30,19 +31,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach_groups, bound_batches, cut, keep_only, release_worker, text_or_empty
+from .common import attach_groups, bound_batches, cut, forget, keep_only, release_once, release_worker, text_or_empty
 from .components import connected_components
 from .shingles import WORDS, batches_of, digests
 
 THRESHOLD = (80, 100)
 #: Text of a block; bits of a shingle's hash within its bucket (with a bucket's own, 54 or more in all).
-BLOCK_BYTES, LOW_BITS = 8 << 20, 48
+BLOCK_BYTES, LOW_BITS = 4 << 20, 48
 #: Prefixes match up to so often; verifying a pair costs as much as looking so many shingles up, and one more for each of its set's ``VERIFY_EACH``.
 MOST_MATCHES, VERIFY, VERIFY_EACH = 6, 4.0, 32
-#: Star rounds end when at most so many pairs are left, by shingle, or a round hasn't halved them; how far later rounds' centres are spread.
-FEW_PAIRS, MOST_ROUNDS, SPREAD = 20_000, 8, 0.05
-#: Documents of a block of the exact pairing; columns of a dense product.
-BLOCK_DOCS, DENSE = 512, 4096
+#: Star rounds go on while more pairs than this are left for each place in a prefix and a round halves them; how far later rounds' centres are spread.
+PAIRS_EACH, MOST_ROUNDS, SPREAD = 256, 8, 0.05
+#: Documents and shared shingles of a block of the exact pairing; columns of a dense product.
+BLOCK_DOCS, BLOCK_SHARED, DENSE = 1024, 2 << 20, 4096
 MANY = 0xFFFF
 
 MESSAGE = "kind int, key long, block long, a binary, b binary, c binary, d binary"
@@ -140,6 +141,7 @@ def _send_sets(bits: int):
 
 def _count(key: tuple, group: pa.Table) -> pa.Table:
     """A bucket's answers: to each block those of its shingles that another document has too, with their frequency."""
+    release_once()
     kind, bucket = key[0].as_py(), key[1].as_py()
     if kind != SHINGLES:
         return group
@@ -190,6 +192,7 @@ def _shared(threshold: tuple[int, int]):
     """A block's documents, with their shared shingles where there are enough of them to be similar to any."""
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
+        release_once()
         ids, n, dig, sends, doc, token, _ = _gather(group)
         counts = np.bincount(doc, minlength=len(ids))
         live = sends & (counts >= needed(n, threshold))
@@ -220,6 +223,7 @@ def choose_prefix(n: int, frequency: np.ndarray, threshold: tuple[int, int] = TH
 
 def _prefixes(threshold: tuple[int, int]):
     def run(key: tuple, group: pa.Table) -> pa.Table:
+        release_once()
         ids, n, _, _, doc, token, freq = _gather(group)
         by = np.lexsort((token, freq, doc))
         doc, token, freq = doc[by], token[by], freq[by]
@@ -247,25 +251,27 @@ def _bits(df: DataFrame) -> int:
     return min(16, max(6, (8 * df.rdd.getNumPartitions() - 1).bit_length()))
 
 
-def candidate_vertices(texts: DataFrame, threshold: tuple[int, int] = THRESHOLD, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
-    """Of rows ``(id long, text)``: (all documents with n and their set's class, the vertices that may be similar to another)."""
+def candidate_vertices(texts: DataFrame, threshold: tuple[int, int] = THRESHOLD, words: int = WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of rows ``(id long, text)``: (all documents with n, those whose set another stands for, the vertices that may be similar to another)."""
     bits = _bits(texts)
     blocks = cut(_exchange(texts.mapInArrow(_send_texts(bits, words), MESSAGE), _shared(threshold), BLOCKS))
     docs = blocks.select("id", "n", "d1", "d2")
     full = docs.filter("n > 0")
     classes = full.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("class_size"))
     more = cut(classes.filter("class_size > 1").select(F.struct("d1", "d2").alias("set"), "rep", "class_size"))
-    copies = cut(attach_groups(full.select("id", F.struct("d1", "d2").alias("set")), more, "set", "class_size").filter("id <> rep").select("id", "rep"))
-    live = keep_only(blocks.filter("shared is not null").select("id", "n", "shared"), ["id"], copies)
+    copies = cut(attach_groups(full.select("id", "d1", "d2", F.struct("d1", "d2").alias("set")), more, "set", "class_size").filter("id <> rep").select("id", "d1", "d2", "rep"))
+    forget(more)
+    live = keep_only(blocks.filter("shared is not null").select("id", "n", "d1", "d2", "shared"), ["id", "d1", "d2"], copies).select("id", "n", "shared")
     vertices = cut(_exchange(live.mapInArrow(_send_sets(bits), MESSAGE), _prefixes(threshold), VERTICES))
     return docs, copies, vertices
 
 
 def _similar(pairs: DataFrame, vertices: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """The pairs ``(x, y)`` whose sets are similar."""
+    """The pairs ``(x, y)`` whose sets are similar: those whose prefixes match as often as both demand are verified."""
     num, den = threshold
-    side = lambda k: vertices.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("shared").alias(f"s{k}"))
-    both = pairs.join(side("x"), "x").join(side("y"), "y").withColumn("o", F.size(F.array_intersect("sx", "sy")))
+    side = lambda k: vertices.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("matches").alias(f"m{k}"), F.col("prefix").alias(f"p{k}"), F.col("shared").alias(f"s{k}"))
+    both = pairs.join(side("x"), "x").join(side("y"), "y").filter(F.size(F.array_intersect("px", "py")) >= F.least("mx", "my"))
+    both = both.withColumn("o", F.size(F.array_intersect("sx", "sy")))
     return both.filter(F.lit(den) * F.col("o") >= F.lit(num) * (F.col("nx") + F.col("ny") - F.col("o"))).select("x", "y")
 
 
@@ -274,6 +280,7 @@ def _pair_block(threshold: tuple[int, int]):
     num, den = threshold
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
+        release_once()
         ids, n, comp, wanted, rest = (group[c].to_numpy() for c in ("id", "n", "comp", "matches", "rest"))
         lists = {c: group[c].combine_chunks() for c in ("prefix", "shared")}
         bounds = {c: x.offsets.to_numpy().astype(np.int64) for c, x in lists.items()}
@@ -337,67 +344,95 @@ def _pair_block(threshold: tuple[int, int]):
     return run
 
 
-def _pair_the_rest(posts: DataFrame, vertices: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+def _prefix_posts(vertices: DataFrame, component: DataFrame | None, turn: int) -> DataFrame:
+    """``id, n, rank, comp, token`` for each shingle of each prefix.
+
+    What has the fewest shingles of its own is the likeliest centre; later turns try others too.
+    """
+    alone = 1 - F.size("shared") / F.col("n")
+    rank = alone + SPREAD * turn * F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1 << 20)) / float(1 << 20)
+    own = vertices.select("id", "n", rank.alias("rank"), "prefix")
+    if component is None:
+        own = own.withColumn("comp", F.col("id"))
+    else:
+        own = cut(own.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component"))
+    return own.select("id", "n", "rank", "comp", F.explode("prefix").alias("token"))
+
+
+def _open_tokens(posts: DataFrame, alone: bool) -> DataFrame:
+    """Of each prefix shingle that documents of several components have: its ``first`` by rank, ``least`` id, ``members``, and ``squares`` of its components' members.
+
+    ``alone``: every document is a component of its own still.
+    """
+    if alone:
+        by_comp = posts.select("token", "comp", F.struct("rank", "id", "n").alias("c"), F.col("id").alias("least"), F.lit(1).cast("long").alias("m"))
+    else:
+        by_comp = posts.groupBy("token", "comp").agg(F.min(F.struct("rank", "id", "n")).alias("c"), F.min("id").alias("least"), F.count("*").alias("m"))
+    by_token = by_comp.groupBy("token").agg(
+        F.min(F.struct("c.rank", "comp", "c.id", "c.n")).alias("first"), F.min("least").alias("least"), F.min("comp").alias("low"), F.max("comp").alias("high"),
+        F.sum("m").alias("members"), F.sum(F.col("m") * F.col("m")).alias("squares"),
+    )
+    return by_token.filter("low <> high").drop("low", "high")
+
+
+def _star_links(posts: DataFrame, tokens: DataFrame, vertices: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Links of documents with one centre each: the first document of a shingle, that which most of its prefix's shingles name."""
+    num, den = threshold
+    met = attach_groups(posts, tokens.select("token", "first", "members"), "token", "members").filter("comp <> first.comp")
+    met = met.filter(F.lit(den) * F.least("n", "first.n") >= F.lit(num) * F.greatest("n", "first.n"))
+    hits = met.select("id", F.col("first.id").alias("centre")).repartition("id").groupBy("id", "centre").agg(F.count("*").alias("hits"))
+    best = hits.groupBy("id").agg(F.max(F.struct("hits", "centre")).alias("best"))
+    return _similar(best.select(F.col("id").alias("x"), F.col("best.centre").alias("y")), vertices, threshold)
+
+
+def _pair_the_rest(posts: DataFrame, tokens: DataFrame, component: DataFrame | None, vertices: DataFrame, threshold: tuple[int, int], block: tuple[int, int]) -> DataFrame:
     """Links between documents of different components that share a prefix shingle, none left out.
 
-    Documents that such shingles connect are a family.  It is cut into blocks of about BLOCK_DOCS, and
-    every two blocks meet in a task, but for those of the family's largest component among themselves.
+    Documents that such shingles connect are a family.  It is cut into blocks of about ``block`` documents and
+    shared shingles, and every two blocks meet in a task, but for those of the family's largest
+    component among themselves.
     """
-    centre = posts.groupBy("token").agg(F.min("id").alias("to"))
-    family = connected_components(posts.join(centre, "token").select("id", "to").filter("id <> to").distinct(), "id", "to").select(F.col("node").alias("id"), F.col("component").alias("family"))
-    own = cut(posts.select("id", "comp").distinct().join(family, "id"))
-    by_comp = own.groupBy("family", "comp").agg(F.count("*").alias("k"))
-    sizes = by_comp.groupBy("family").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("all"))
-    sizes = sizes.select("family", F.col("top.comp").alias("main"), F.ceil(F.col("top.k") / BLOCK_DOCS).alias("blocks"), F.ceil((F.col("all") - F.col("top.k")) / BLOCK_DOCS).alias("rest_blocks"))
-    placed = own.join(sizes, "family").withColumn("rest", F.col("comp") != F.col("main"))
+    edges = attach_groups(posts.select("id", "token"), tokens.select("token", "least", "members"), "token", "members").filter("id <> least")
+    own = connected_components(edges.select("id", "least"), "id", "least").select(F.col("node").alias("id"), F.col("component").alias("family"))
+    if component is None:
+        own = own.withColumn("comp", F.col("id"))
+    else:
+        own = own.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+    own = cut(own.join(vertices.select("id", F.size("shared").cast("long").alias("w")), "id"))
+    by_comp = own.groupBy("family", "comp").agg(F.count("*").alias("k"), F.sum("w").alias("w"))
+    sizes = by_comp.groupBy("family").agg(F.max(F.struct("k", "comp", "w")).alias("top"), F.sum("k").alias("all"), F.sum("w").alias("w"))
+    blocks = lambda k, w: F.greatest(F.ceil(k / block[0]), F.ceil(w / block[1])).cast("long")
+    sizes = cut(sizes.select("family", "all", F.col("top.comp").alias("main"), blocks(F.col("top.k"), F.col("top.w")).alias("blocks"), blocks(F.col("all") - F.col("top.k"), F.col("w") - F.col("top.w")).alias("rest_blocks")))
+    placed = attach_groups(own.drop("w"), sizes, "family", "all").withColumn("rest", F.col("comp") != F.col("main"))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.when(F.col("rest"), F.col("rest_blocks")).otherwise(F.col("blocks"))))
     with_rest = F.sequence(F.lit(0).cast("long"), F.col("rest_blocks") - 1)
     with_main = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     task = lambda a, b, kind: F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"), F.lit(kind).alias("kind"))
-    of_rest = F.concat(F.transform(with_rest, lambda k: task(F.least(k, F.col("block")), F.greatest(k, F.col("block")), "rest")), F.transform(with_main, lambda k: task(k, F.col("block"), "main")))
-    of_main = F.transform(with_rest, lambda k: task(F.col("block"), k, "main"))
+    # Two blocks of the rest meet with each other; the main component's block 0 joins a meeting of one with itself.
+    of_rest = F.concat(F.transform(with_rest, lambda k: task(F.least(k, F.col("block")), F.greatest(k, F.col("block")), "rest")), F.transform(F.filter(with_main, lambda k: k > 0), lambda k: task(k, F.col("block"), "main")))
+    of_main = F.transform(with_rest, lambda k: F.when(F.col("block") == 0, task(k, k, "rest")).otherwise(task(F.col("block"), k, "main")))
     sent = placed.withColumn("task", F.explode(F.when(F.col("rest"), of_rest).otherwise(of_main))).select("id", "comp", "rest", "family", "task.*")
     sent = sent.join(vertices.select("id", "n", "matches", "prefix", "shared"), "id")
     return sent.groupBy("family", "a", "b", "kind").applyInArrow(_pair_block(threshold), "x long, y long")
 
 
-def similar_components(vertices: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+def similar_components(vertices: DataFrame, threshold: tuple[int, int] = THRESHOLD, pairs_each: float = PAIRS_EACH, block: tuple[int, int] = (BLOCK_DOCS, BLOCK_SHARED)) -> DataFrame:
     """``(id, component)`` of the vertices that have a link, by the smallest id."""
-    num, den = threshold
     component = last = None
     for turn in range(MOST_ROUNDS + 1):
-        own = vertices.select("id", "n", "matches", "prefix", (1 - F.size("shared") / F.col("n")).alias("alone"))
-        if component is None:
-            own = own.withColumn("comp", F.col("id"))
-        else:
-            own = own.join(component, own["id"] == component["node"], "left").withColumn("comp", F.coalesce("component", "id")).drop("node", "component")
-        posts = cut(own.select("id", "n", "comp", "alone", F.explode("prefix").alias("token")))
-        # What has the fewest shingles of its own is the likeliest centre; later rounds try others too.
-        rank = F.col("alone") + SPREAD * turn * F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1 << 20)) / float(1 << 20)
-        by_comp = posts.groupBy("token", "comp").agg(F.min(F.struct(rank.alias("rank"), "id", "n")).alias("c"), F.count("*").alias("m"))
-        by_token = by_comp.groupBy("token").agg(F.min(F.struct("c.rank", "comp", "c.id", "c.n")).alias("first"), F.count("*").alias("comps"), F.sum("m").alias("members"), F.sum(F.col("m") * F.col("m")).alias("squares"))
-        open_tokens = cut(by_token.filter("comps > 1"))
-        left = open_tokens.agg(F.coalesce(F.sum((F.col("members") * F.col("members") - F.col("squares")) / 2), F.lit(0.0))).first()[0]
+        posts = _prefix_posts(vertices, component, turn)
+        tokens = cut(_open_tokens(posts, component is None))
+        pairs = (F.col("members") * F.col("members").cast("double") - F.col("squares")) / 2
+        left, members = tokens.agg(F.sum(pairs), F.sum("members")).first()
         if not left:
             break
-        exact = left <= FEW_PAIRS or turn == MOST_ROUNDS or last is not None and left > 0.5 * last
+        exact = left <= pairs_each * members or turn == MOST_ROUNDS or last is not None and left > 0.5 * last
         last = left
-        live = posts.join(open_tokens.select("token"), "token", "left_semi")
-        if exact:
-            links = _pair_the_rest(cut(live.select("id", "comp", "token")), vertices, threshold)
-        else:
-            first = open_tokens.select("token", "first")
-            other = by_comp.join(first, "token").filter("comp <> first.comp").groupBy("token").agg(F.min(F.struct("c.rank", "comp", "c.id", "c.n")).alias("second"))
-            met = live.join(first.join(other, "token"), "token").withColumn("to", F.when(F.col("comp") == F.col("first.comp"), F.col("second")).otherwise(F.col("first")))
-            met = met.filter(F.lit(den) * F.least("n", "to.n") >= F.lit(num) * F.greatest("n", "to.n"))
-            hits = met.groupBy("id", F.col("to.id").alias("centre")).agg(F.count("*").alias("hits"))
-            # The centre that a document matches most often.
-            best = hits.groupBy("id").agg(F.max(F.struct("hits", "centre")).alias("best")).select("id", F.col("best.centre").alias("centre"))
-            links = _similar(best.select(F.least("id", "centre").alias("x"), F.greatest("id", "centre").alias("y")).distinct(), vertices, threshold)
-        links = cut(links)
+        links = _pair_the_rest(posts, tokens, component, vertices, threshold, block) if exact else _star_links(posts, tokens, vertices, threshold)
         if component is not None:
             links = links.unionByName(component.filter("node <> component").select(F.col("node").alias("x"), F.col("component").alias("y")))
         component = connected_components(links, "x", "y")
+        forget(tokens)
         if exact:
             break
     if component is None:
@@ -418,10 +453,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     named = rows.filter("id is not null")
     all_docs, copies, vertices = candidate_vertices(named, threshold, words)
-    found = cut(similar_components(vertices, threshold))
+    found = similar_components(vertices, threshold)
+    # An id that stands for several sets joins what they are linked with.
+    several = all_docs.groupBy("id").agg(F.count("*").alias("k")).filter("k > 1").select("id")
+    several = cut(copies.join(several, "id", "left_semi").select("id", "rep"))
+    if not several.isEmpty():
+        edges = found.select(F.col("id").alias("x"), F.col("component").alias("y")).unionByName(several.select(F.col("id").alias("x"), F.col("rep").alias("y")))
+        found = connected_components(edges, "x", "y").select(F.col("node").alias("id"), "component")
     # Copies of a set take the component of the one that stands for it.
-    groups = found.groupBy("component").agg(F.count("*").alias("k"))
-    of_copy = copies.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
+    of_copy = copies.select("id", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
     own = cut(found.unionByName(of_copy).groupBy("id").agg(F.min("component").alias("component")))
     out = all_docs.select("id", "n").join(own, "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     missing = rows.filter("id is null")

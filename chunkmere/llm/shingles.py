@@ -18,6 +18,8 @@ _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: Bytes of text that are hashed at once (a longer word is hashed alone), and powers that a worker keeps.
+RUN_BYTES, KEPT_POWERS = 1 << 20, 1 << 21
 _powers: dict[np.uint64, np.ndarray] = {}
 
 
@@ -26,10 +28,26 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     held = _powers.get(base, np.ones(1, np.uint64))
     while len(held) <= n:
         held = np.concatenate([held, held * held[-1] * base])
-    _powers[base] = held
+    if len(held) <= KEPT_POWERS:
+        _powers[base] = held
     return held
 
 
+def _word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the words from ``start`` to ``end`` by sums over runs of them."""
+    out, at = np.empty(len(start), np.uint64), 0
+    while at < len(start):
+        first = int(start[at])
+        to = max(at + 1, int(np.searchsorted(end, first + RUN_BYTES, "right")))
+        last = int(end[to - 1])
+        sums = np.zeros(last - first + 1, np.uint64)
+        np.cumsum(_BYTE[data[first:last]] * powers(_BASE, last - first)[: last - first], out=sums[1:])
+        s, e = start[at:to] - first, end[at:to] - first
+        out[at:to] = mix((sums[e] - sums[s]) * powers(_INVERSE, last - first)[s] + (e - s).astype(np.uint64))
+        at = to
+    return out
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values whose bits all depend on all bits."""
     x = x ^ (x >> np.uint64(30))
@@ -61,10 +79,8 @@ def shingle_sets(texts: pa.StringArray, words: int = WORDS) -> tuple[np.ndarray,
     ends = inside.copy()
     ends[:-1] &= ~inside[1:] | begins[1:]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    power, undo = powers(_BASE, total), powers(_INVERSE, total)
     with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * power[:total])])
-        word = mix((sums[end] - sums[start]) * undo[start] + (end - start).astype(np.uint64))
+        word = _word_hashes(data, start, end)
         first = np.searchsorted(start, bounds)  # each text's words
         counts = np.diff(first)
         n = np.where(counts >= words, counts - words + 1, (counts > 0).astype(np.int64))

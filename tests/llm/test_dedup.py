@@ -11,7 +11,7 @@ import pytest
 
 from chunkmere.llm.components import connected_components
 from chunkmere.llm.exact_dedup import drop_copies, exact_dedup, merge_runs
-from chunkmere.llm.ngram_join import choose_prefix, drop_near_duplicates, near_duplicates, needed
+from chunkmere.llm.ngram_join import candidate_vertices, choose_prefix, drop_near_duplicates, near_duplicates, needed, similar_components
 from chunkmere.llm.shingles import shingle_sets
 
 
@@ -128,7 +128,21 @@ def test_near_duplicates_of_a_hot_family(spark):
         texts.append(" ".join(t))
     texts += [" ".join(passage + [word() for _ in range(rng.randint(3, 60))]) for _ in range(150)]
     texts += ["One two", "one  TWO", "one two three", "", " ", "a b c d e f g h i", "a b c d e f g h z", "a b c d e f g h i j"]
-    check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    check(df)
+    # By star rounds first, and in small blocks, the links join the same documents.
+    _, _, vertices = candidate_vertices(df.withColumnRenamed("doc_id", "id"))
+    want = Counter(map(tuple, similar_components(vertices).collect()))
+    assert len(want) > 50
+    for pairs_each, block in ((0, (1024, 1 << 20)), (0, (11, 1 << 20)), (1e9, (13, 900))):
+        assert Counter(map(tuple, similar_components(vertices, pairs_each=pairs_each, block=block).collect())) == want
+
+
+def test_an_id_of_several_texts_joins_what_they_link_with(spark):
+    a, b = " ".join(map(str, range(40))), " ".join(map(str, range(100, 140)))
+    rows = [(3, a), (5, a), (5, b), (9, b + " 140"), (7, "one two three four five six"), (7, "six five four three two one"), (8, "one two three four five six")]
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(3, 36, 3), (5, 36, 3), (9, 37, 3), (7, 2, 7), (8, 2, 7)}
 
 
 def test_near_duplicates_of_odd_rows(odd):
@@ -149,7 +163,19 @@ def test_needed_and_prefixes():
             assert 1 <= matches <= needed(n) and length == min(shared, n - needed(n) + matches - (n - shared))
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("task_edges", [1 << 19, 9])
+def test_components_of_chains_and_stars(spark, task_edges):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (200, 201)]
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
-    assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}, 200: 200, 201: 200}
+    random.Random(2).shuffle(edges)
+    df = spark.createDataFrame(edges, "a long, b long").repartition(6)
+    got = connected_components(df, "a", "b", task_edges).collect()
+    assert Counter(map(tuple, got)) == Counter({**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}, 200: 200, 201: 200}.items())
+    assert connected_components(df.limit(0), "a", "b", task_edges).count() == 0
+
+
+def test_shingles_of_very_long_texts():
+    """Runs of words hashed apart, one word longer than a run, give the sets of the whole."""
+    words = [f"w{i % 70001}" for i in range(400_000)] + ["x" * 3_000_000] + ["tail"] * 5
+    (hashes, bounds), (short, cut) = shingle_sets(pa.array([" ".join(words), "a b"])), shingle_sets(pa.array([" ".join(words[-7:]), "a b"]))
+    grams = {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+    assert bounds[1] == len(grams) and np.isin(short, hashes).all() and (hashes[bounds[1] :] == short[cut[1] :]).all()
