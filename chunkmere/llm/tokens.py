@@ -4,12 +4,14 @@ A byte-level BPE with the common pre-tokenizer pattern starts a token at every s
 non-space or precedes one, so a text may be cut before such spaces and its words be encoded on
 their own.  Words recur, so each worker keeps the ids of those it has met (at most ``CACHED``) and
 asks the library only for new ones.  Texts with a space between two other white-space characters,
-or at the end after one, are given to the library whole.
+or at the end after one, or with the string of an added token, which the library takes as that token,
+are given to the library whole.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import repeat
@@ -124,15 +126,14 @@ class WordEncoder:
 class TextEncoder(WordEncoder):
     """The tokenizers library with a byte-level vocabulary."""
 
-    odd = _ODD
-
     def __init__(self, path: str):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = sorted({t.content for t in self.tokenizer.get_added_tokens_decoder().values()})
+        self.odd = "|".join([_ODD, *map(re.escape, added)])
         self.token_bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.token_bytes[i] = len(token)  # a byte-level vocabulary has a letter for each byte

@@ -17,6 +17,7 @@ ODD_DOCS = [
     (2, "Ünïcode ☃ text — très long  mot\n\n  fin ", "fr", "a"),
     (1, "word " * 9000, "en", "a"),
     (6, "x" * 30000, "en", "a"),
+    (10, "an end <|endoftext|> in the middle<|endoftext|>", "en", "a"),
 ]
 
 

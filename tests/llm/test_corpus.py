@@ -10,9 +10,10 @@ import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from chunkmere.llm import queries, tokens
+from chunkmere.llm import queries
 from chunkmere.llm.language_id import LanguageModel, classify, drop_rejected, fit, identify, predict
 from chunkmere.llm.packing import generate_columns, pack_documents, plan, price, round_patterns
 from chunkmere.llm.sharding import hilbert_index, shard_documents
@@ -20,7 +21,7 @@ from chunkmere.llm.url_filters import filter_captures, host_of, keys_of, validit
 
 
 def check_packing(df, tokenizer):
-    library = tokens.encoder(tokenizer).tokenizer
+    library = Tokenizer.from_file(tokenizer)
     rows = pack_documents(df, tokenizer, 1).collect()
     want = Counter()
     for r in df.collect():
@@ -225,7 +226,7 @@ def test_pipeline_matches_a_plain_version(spark, tokenizer):
 
     parts = plain_components(left)
     left = {i: t for i, t in left if parts[i][1] == i}
-    library = tokens.encoder(tokenizer).tokenizer
+    library = Tokenizer.from_file(tokenizer)
     want = {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in left.items()}
     rows = corpus_pipeline.run(spark, sf).collect()
     assert {r.doc_id: r.doc_tokens for r in rows} == want

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import zstandard
+from tokenizers import Tokenizer
 
 from chunkmere.llm import media, token_binary, tokens, warc
 from chunkmere.llm.pieces import decode_pieces, encode_pieces, piece_encoder
@@ -20,9 +21,12 @@ def test_token_encoder_equals_the_library(tokenizer, docs):
     made = tokens.encoder(tokenizer)
     rng = random.Random(1)
     texts = ["".join(rng.choice("ab 1'.\n\t  é  　日本s!<|endoftext|>\r") for _ in range(rng.randint(0, 14))) for _ in range(5000)]
+    end = "<|endoftext|>"
+    texts += ["".join(rng.choice([end, "<|", "|>", "end", " ", "a b", "\n"]) for _ in range(rng.randint(1, 9))) for _ in range(500)]
+    texts += [end, f"{end} at the start", f"in the {end} middle", f"at the end {end}", f"{end}{end}back to back {end} {end}"]
     texts += [r.text for r in docs.filter("doc_id < 50").collect()] + ["", " ", "  "]
     ids, bounds = made.encode(pa.array(texts))
-    for i, x in enumerate(made.tokenizer.encode_batch(texts, add_special_tokens=False)):
+    for i, x in enumerate(Tokenizer.from_file(tokenizer).encode_batch(texts, add_special_tokens=False)):
         assert ids[bounds[i] : bounds[i + 1]].tolist() == x.ids, repr(texts[i])
 
 
@@ -46,7 +50,7 @@ def test_token_file_notices_damage():
 
 
 def test_token_files_in_order(docs, odd, tokenizer):
-    library = tokens.encoder(tokenizer).tokenizer
+    library = Tokenizer.from_file(tokenizer)
     for df, size in ((docs, 3000), (odd, 1 << 20)):
         got = sorted((tuple(r) for r in token_binary.token_file_round_trip(df, tokenizer, 0, file_ids=size).collect()), key=lambda r: r[1])
         rows = sorted(((r.doc_id, r.text or "") for r in df.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
