@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import in_order
+
 # ---------------------------------------------------------------- fixed size
 
 
@@ -102,8 +104,7 @@ def content_chunks(files: DataFrame, average: int, largest: int, smallest: int,
 
 def running_offsets(rows: DataFrame, group: list[str], order: list[str], size: str = "size") -> DataFrame:
     """Adds ``begin`` and ``end``: the bytes before a row in its group, and with it."""
-    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("end", F.sum(size).over(w)).withColumn("begin", F.col("end") - F.col(size))
+    return in_order(rows, order, F.col(size), group).withColumnRenamed("before", "begin").withColumn("end", F.col("begin") + F.col(size))
 
 
 def file_chunk_map(files: DataFrame, chunks: DataFrame, group: list[str], bucket: int) -> DataFrame:
@@ -130,36 +131,64 @@ def file_ranges(placed: DataFrame, group: list[str]) -> DataFrame:
 
 def delta_encode(ranges: DataFrame, group: list[str], order: str) -> DataFrame:
     """Start chunks as the distance to the last end chunk, end chunks as that to the start."""
-    last = F.coalesce(F.lag("end_chunk").over(Window.partitionBy(*group).orderBy(order)), F.lit(0))
-    return ranges.withColumn("d_start", F.col("start_chunk") - last).withColumn("d_end", F.col("end_chunk") - F.col("start_chunk"))
+    placed = in_order(ranges, [order], F.lit(0), group, lag="end_chunk").drop("before")
+    return placed.withColumn("d_start", F.col("start_chunk") - F.coalesce("previous", F.lit(0))).withColumn("d_end", F.col("end_chunk") - F.col("start_chunk")).drop("previous")
 
 
 def delta_decode(deltas: DataFrame, group: list[str], order: str) -> DataFrame:
     """The chunks of ``d_start`` and ``d_end`` again, by a running sum."""
-    w = Window.partitionBy(*group).orderBy(order)
-    before = F.coalesce(F.sum(F.col("d_start") + F.col("d_end")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = deltas.withColumn("start_chunk", before + F.col("d_start"))
+    placed = in_order(deltas, [order], F.col("d_start") + F.col("d_end"), group)
+    out = placed.withColumn("start_chunk", F.col("before") + F.col("d_start")).drop("before")
     return out.withColumn("end_chunk", F.col("start_chunk") + F.col("d_end"))
 
 
 def dense_numbers(rows: DataFrame, group: list[str], order: list[str], key: str) -> DataFrame:
-    """Adds ``number``: counts up where the key differs from the row before."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    fresh = (~F.col(key).eqNullSafe(F.lag(key).over(w))) | (F.row_number().over(w) == 1)
-    return rows.withColumn("fresh", fresh.cast("long")).withColumn("number", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("fresh")
+    """Adds ``number``: counts up where ``key``, a column of long values, differs from the row before."""
+    placed = in_order(rows, order, F.lit(1), group, lag=key)
+    fresh = (F.col("before") > 0) & ~F.col(key).eqNullSafe(F.col("previous"))
+    placed = in_order(placed.withColumn("fresh", fresh.cast("long")).drop("previous").withColumnRenamed("before", "place"), ["place"], F.col("fresh"), group)
+    return placed.withColumn("number", F.col("before") + F.col("fresh")).drop("fresh", "before", "place")
+
+
+def _hash_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    path, size, held = None, 0, None
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"path": pa.array([path], pa.string()), "size": pa.array([size], pa.int64()), "hash": pa.array([held.hexdigest()], pa.string())})
+
+    for b in batches:
+        for name, content in zip(b.column(0).to_pylist(), b.column(1)):
+            if held is None or name != path:
+                if held is not None:
+                    yield out()
+                path, size, held = name, 0, hashlib.sha256()
+            if content.is_valid:
+                part = content.as_buffer()
+                held.update(part)
+                size += part.size
+    if held is not None:
+        yield out()
 
 
 def read_back(chunks: DataFrame) -> DataFrame:
-    """Files from their chunks ``(path, seq, content)``: ``path, size, hash`` of the bytes in order."""
-    parts = F.array_sort(F.collect_list(F.struct("seq", F.hex("content").alias("hex"))))
-    whole = chunks.groupBy("path").agg(F.unhex(F.array_join(F.transform(parts, lambda x: x["hex"]), "")).alias("content"))
-    return whole.select("path", F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("hash"))
+    """Files from their chunks ``(path, seq, content)``: ``path, size, hash`` of the bytes in order.
+
+    A file's hash runs over its bytes one after another, so a file is one task's; it is streamed, a
+    batch of chunks at a time, and never held whole.
+    """
+    laid = chunks.select("path", "seq", "content").repartition("path").sortWithinPartitions("path", "seq")
+    return laid.select("path", "content").mapInArrow(_hash_files, "path string, size long, hash string")
+
+
+def ordered_checksum(rows: DataFrame, group: list[str], order: str, value: str, bucket: int = 4096) -> DataFrame:
+    """A tree of SHA-256 over a group's values in order (A16): of the values of each ``bucket`` of the order, then of these digests."""
 
+    def level(parts: DataFrame, keys: list[str], by: str, name: str) -> DataFrame:
+        held = F.array_sort(F.collect_list(F.struct(by, "v")))
+        return parts.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(held, lambda x: x["v"]), ""), 256).alias(name))
 
-def ordered_checksum(rows: DataFrame, group: list[str], order: str, value: str) -> DataFrame:
-    """SHA-256 over a group's values in order."""
-    parts = F.array_sort(F.collect_list(F.struct(order, F.col(value).cast("string").alias("v"))))
-    return rows.groupBy(*group).agg(F.sha2(F.array_join(F.transform(parts, lambda x: x["v"]), ""), 256).alias("checksum"))
+    parts = rows.select(*group, F.expr(f"`{order}` div {bucket}").alias("bucket"), order, F.col(value).cast("string").alias("v"))
+    return level(level(parts, [*group, "bucket"], order, "v"), group, "bucket", "checksum")
 
 
 def context_lines(lines: DataFrame, group: list[str], order: str, changed: str, before: int = 10, after: int = 10) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -13,46 +13,38 @@ def storage_totals(chunks: DataFrame) -> DataFrame:
     )
 
 
-def chunk_usage(refs: DataFrame) -> DataFrame:
-    """One row per (id, chunk): the first revision that refers to it, how many do, and over all ids how many revisions and ids.
-
-    Aggregates only: a chunk that nearly all revisions share is combined before each shuffle.
-    """
-    seen = refs.select("id", "revision", "chunk_id").distinct()
-    by_id = seen.groupBy("id", "chunk_id").agg(F.min("revision").alias("first_revision"), F.count("*").alias("revisions"))
-    everywhere = by_id.groupBy("chunk_id").agg(F.sum("revisions").alias("all_revisions"), F.count("*").alias("ids"))
-    return by_id.join(everywhere, "chunk_id")
+def bag_totals(refs: DataFrame) -> DataFrame:
+    """One row: references as a bag, their distinct chunks and ids."""
+    held = refs.groupBy("id", "chunk_id").agg(F.count("*").alias("n"))
+    return held.agg(F.sum("n").alias("n_refs"), F.count_distinct("chunk_id").alias("n_chunks"), F.count_distinct("id").alias("n_ids"))
 
 
 def revision_stats(refs: DataFrame, chunks: DataFrame) -> DataFrame:
     """Per (id, revision): distinct, unique and new chunks and their bytes.
 
     Unique: no other revision of any id refers to it.  New: no earlier revision of its id does.
-    A missing chunk counts with no bytes.
+    A missing chunk counts with no bytes.  Sizes are joined to the distinct references, whose
+    partitioning by chunk then serves both windows; a chunk has at most one row a revision there.
     """
-    sizes = chunks.select("chunk_id", "size")
     size = F.coalesce("size", F.lit(0))
-    total = (
-        refs.select("id", "revision", "chunk_id").distinct().join(sizes, "chunk_id", "left")
-        .groupBy("id", "revision").agg(F.count("*").alias("total_chunks"), F.sum(size).alias("total_bytes"))
-    )
-    alone = F.col("all_revisions") == 1
-    fresh = (
-        chunk_usage(refs).join(sizes, "chunk_id", "left").groupBy("id", F.col("first_revision").alias("revision"))
-        .agg(
-            F.sum(alone.cast("long")).alias("unique_chunks"), F.sum(F.when(alone, size).otherwise(0)).alias("unique_bytes"),
-            F.count("*").alias("new_chunks"), F.sum(size).alias("new_bytes"),
-        )
+    seen = refs.select("id", "revision", "chunk_id").distinct().join(chunks.select("chunk_id", "size"), "chunk_id", "left")
+    alone = F.count("*").over(Window.partitionBy("chunk_id")) == 1
+    new = F.col("revision") == F.min("revision").over(Window.partitionBy("chunk_id", "id"))
+    told = seen.select("id", "revision", size.alias("size"), alone.alias("alone"), new.alias("new"))
+    when = lambda c, x: F.sum(F.when(c, x).otherwise(0))
+    return told.groupBy("id", "revision").agg(
+        F.count("*").alias("total_chunks"), F.sum("size").alias("total_bytes"), when(F.col("alone"), F.lit(1).cast("long")).alias("unique_chunks"), when(F.col("alone"), F.col("size")).alias("unique_bytes"),
+        when(F.col("new"), F.lit(1).cast("long")).alias("new_chunks"), when(F.col("new"), F.col("size")).alias("new_bytes"),
     )
-    return total.join(fresh, ["id", "revision"], "left").fillna(0, ["unique_chunks", "unique_bytes", "new_chunks", "new_bytes"])
 
 
 def id_stats(refs: DataFrame, chunks: DataFrame) -> DataFrame:
     """Per id: distinct chunks, and those that no other id refers to (A5, A6's ``all`` row)."""
-    own = F.col("ids") == 1
     size = F.coalesce("size", F.lit(0))
-    return chunk_usage(refs).join(chunks.select("chunk_id", "size"), "chunk_id", "left").groupBy("id").agg(
-        F.count("*").alias("total_chunks"), F.sum(size).alias("total_bytes"), F.sum(own.cast("long")).alias("unique_chunks"), F.sum(F.when(own, size).otherwise(0)).alias("unique_bytes")
+    seen = refs.select("id", "chunk_id").distinct().join(chunks.select("chunk_id", "size"), "chunk_id", "left")
+    told = seen.select("id", size.alias("size"), (F.count("*").over(Window.partitionBy("chunk_id")) == 1).alias("own"))
+    return told.groupBy("id").agg(
+        F.count("*").alias("total_chunks"), F.sum("size").alias("total_bytes"), F.sum(F.col("own").cast("long")).alias("unique_chunks"), F.sum(F.when(F.col("own"), F.col("size")).otherwise(0)).alias("unique_bytes")
     )
 
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec, formats, hashing, paths
 from ..model import chunks, files, local_files, refs, remote_files, snapshots, table
 from ..operators import chunking, filters, joins, prune, stats
+from ..operators.ordering import in_order
 from ..streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,12 +111,7 @@ def storage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {REFS} SELECT count(*) AS n_refs, count(DISTINCT chunk_id) AS n_chunks, count(DISTINCT id) AS n_ids FROM refs")
 def sequence_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References of all kinds as a bag, and their distinct chunks."""
-    r = refs(spark, sf_dir)
-    kinds = [r.filter(F.col("seq") % 4 == k).select("id", "chunk_id") for k in range(4)]
-    bag = kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).unionByName(kinds[3])
-    return bag.groupBy("chunk_id").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n_refs"), F.count("*").alias("n_chunks")).crossJoin(
-        F.broadcast(bag.select("id").distinct().agg(F.count("*").alias("n_ids")))
-    )
+    return stats.bag_totals(refs(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- listings
@@ -176,9 +172,8 @@ def filter_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY encode(lang), name) AS place FROM f""")
 def path_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O1, O2: each file's place in its top directory, by the directory order."""
-    f = files(spark, sf_dir).withColumn("key", paths.collation_key(F.col("path")))
-    top = F.split("path", "/")[0]
-    return f.select("doc_id", F.row_number().over(Window.partitionBy(top).orderBy("key")).alias("place"))
+    f = files(spark, sf_dir).select("doc_id", paths.collation_key(F.col("path")).alias("key"), F.split("path", "/")[0].alias("top"))
+    return in_order(f, ["key"], F.lit(1), ["top"]).select("doc_id", (F.col("before") + 1).cast("int").alias("place"))
 
 
 # ---------------------------------------------------------------- chunking
@@ -270,7 +265,8 @@ def dense_renumber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.dense_numbers(r, ["id", "revision"], ["seq", "k"], "k").select("id", "revision", "seq", "number")
 
 
-@query(f"WITH {REFS} SELECT id, revision, sha256(string_agg(CAST(chunk_id AS VARCHAR), '' ORDER BY seq, CAST(chunk_id AS VARCHAR))) AS checksum FROM refs GROUP BY ALL")
+@query(f"""WITH {REFS}, b AS (SELECT id, revision, seq // 4096 AS bucket, sha256(string_agg(CAST(chunk_id AS VARCHAR), '' ORDER BY seq, CAST(chunk_id AS VARCHAR))) AS v FROM refs GROUP BY ALL)
+SELECT id, revision, sha256(string_agg(v, '' ORDER BY bucket)) AS checksum FROM b GROUP BY ALL""")
 def snapshot_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A16."""
     return chunking.ordered_checksum(refs(spark, sf_dir), ["id", "revision"], "seq", "chunk_id")
@@ -499,7 +495,7 @@ SELECT lang, seq, first_doc, n_files, used, row_number() OVER (PARTITION BY lang
 def read_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each stream's chunks in the order in which a restore reads them, once each, with the files that need them."""
     by_chunk = _placed(spark, sf_dir).groupBy("lang", "seq").agg(F.min("path").alias("first_doc"), F.count("*").alias("n_files"), F.sum(F.col("stop") - F.col("start")).alias("used"))
-    return by_chunk.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("seq")))
+    return in_order(by_chunk, ["seq"], F.lit(1), ["lang"]).withColumn("place", (F.col("before") + 1).cast("int")).drop("before")
 
 
 @query(f"""WITH {SNAP}, n AS (SELECT id, revision, end_time - start_time AS s FROM snap)
@@ -529,8 +525,8 @@ def events_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sequence_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parts of a sequence joined in order, and their hash."""
     c = table(spark, sf_dir, "conversations")
-    whole = chunking.ordered_checksum(c, ["conv_id"], "turn", "text").withColumnRenamed("checksum", "hash")
-    return whole.join(c.groupBy("conv_id").agg(F.sum(F.octet_length("text")).alias("size")), "conv_id")
+    whole = chunking.read_back(c.select(F.col("conv_id").cast("string").alias("path"), F.col("turn").alias("seq"), F.col("text").cast("binary").alias("content")))
+    return whole.select(F.col("path").cast("long").alias("conv_id"), "hash", "size")
 
 
 # ---------------------------------------------------------------- scalars
