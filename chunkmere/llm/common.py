@@ -5,66 +5,28 @@ from __future__ import annotations
 import ctypes
 import gc
 import sys
-import tempfile
-import uuid
-from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordering import cut, forget, in_order, shared_path
+
+__all__ = ["attach_groups", "bound_batches", "cut", "forget", "in_order", "keep_only", "release_once", "release_worker", "shared_path", "table", "text_or_empty"]
+
 #: Bytes of an Arrow batch that goes to Python.
 BATCH_BYTES = 8 << 20
 #: Rows that a broadcast side may have; larger sides are shuffled.
 BROADCAST_ROWS = 200_000
 #: A group is hot when it holds more than one row in so many; there can't be more such groups than this.
 HOT_SHARE = 1000
-#: Parts of a sorted table, at most; the driver holds a number for each.
-MOST_PARTS = 8192
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); one of our own only where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    sc = spark.sparkContext
-    held = sc._jsc.sc().getCheckpointDir()
-    if held.isEmpty():
-        if not (sc.master == "local" or sc.master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="chunkmere-"))
-        held = sc._jsc.sc().getCheckpointDir()
-    return held.get().rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and cut its lineage there (a reliable checkpoint)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def forget(*cuts: DataFrame) -> None:
-    """Delete what :func:`cut` wrote for these frames.  Only once nothing is computed from them any more."""
-    for df in cuts:
-        sc = df.sparkSession.sparkContext
-        rdd = df._jdf.queryExecution().logical().rdd()
-        if rdd.getCheckpointFile().isDefined():
-            path = sc._jvm.org.apache.hadoop.fs.Path(rdd.getCheckpointFile().get())
-            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def bound_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches that go to Python more closely than Spark's default, where the session leaves that: rows may be very long texts."""
     key, default = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
@@ -129,33 +91,3 @@ def keep_only(docs: DataFrame, keys: list[str], dropped: DataFrame) -> DataFrame
         c = docs[k].eqNullSafe(right[f"__drop_{k}"])
         on = c if on is None else on & c
     return docs.join(F.broadcast(right) if few else right, on, "left_anti")
-
-
-def _run_totals(groups: DataFrame) -> DataFrame:
-    """Adds to rows in order of (part, then as they lie) the bytes and rows before them in their part."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = 0
-        for b in batches:
-            weight = b.column("weight").to_numpy()
-            ends = before + np.cumsum(weight)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ends - weight, pa.int64())], [*b.schema.names, "in_part"])
-            before = int(ends[-1]) if len(ends) else before
-
-    return groups.mapInArrow(run, f"{', '.join(f'{n} {t}' for n, t in groups.dtypes)}, in_part long")
-
-
-def in_order(rows: DataFrame, by: list[str], weight: Column) -> DataFrame:
-    """``rows`` with ``before``, the weight of all rows before theirs in the order ``by``.
-
-    Rows are dealt to parts by range; each part is summed, then the parts (a fixed number) are.
-    """
-    parts = min(MOST_PARTS, max(2, rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()))
-    laid = rows.withColumn("weight", weight.cast("long")).repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("part", F.spark_partition_id())
-    laid = cut(_run_totals(laid))
-    starts, total = [], 0
-    for r in laid.groupBy("part").agg(F.sum("weight").alias("w")).orderBy("part").collect():
-        starts.append((r["part"], total))
-        total += r["w"]
-    held = rows.sparkSession.createDataFrame(starts or [(-1, 0)], "part int, part_start long")
-    return laid.join(F.broadcast(held), "part").withColumn("before", F.col("in_part") + F.col("part_start")).drop("part", "part_start", "in_part", "weight")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .exact_dedup import exact_dedup
 from .language_id import fit, predict
-from .media import media_columns
+from .media import media_round_trip
 from .ngram_join import near_duplicates
 from .packing import pack_documents
 from .pieces import encode_pieces
@@ -33,7 +33,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages, written to archives and read back."""
-    page = lambda c: F.regexp_extract(c, r"^urn:x-page:(-?\d+)$", 1).cast("long")
+    page = lambda c: F.regexp_extract(c, r"^urn:x-page:(-?\d+)$", 1).try_cast("long")
     return archive_round_trip(table(spark, sf_dir, "pages")).select(
         page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to")
     )
@@ -50,9 +50,9 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as WAV payloads with their fingerprints' features."""
-    return media_columns(table(spark, sf_dir, "documents"), keep_media=False).select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"
+    """All documents stored as WAV payloads and read back, with their fingerprints."""
+    return media_round_trip(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "fingerprint"
     )
 
 

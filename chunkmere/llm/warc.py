@@ -245,10 +245,10 @@ def crawl_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     The payload is the html in UTF-8 (null: empty).  Of pages with equal payloads of at least
     ``least_bytes`` bytes that with the largest id is the response and the others revisit it;
-    smaller payloads are all responses.  Pages with a null id stay responses of their own and take
-    the name ``urn:x-page:null``; repeated rows of the response are responses too.  Rows of one id
-    with different payloads are pages of their own.  A null url
-    becomes ``about:blank``.  An empty table gives no archive and no record.
+    smaller payloads are all responses.  A page with a null id takes the name ``urn:x-page:null`` and
+    loses to any other; where all ids of a payload are null, all are responses.  Repeated rows of the
+    response are responses too.  Rows of one id with different payloads are pages of their own.  A
+    null url becomes ``about:blank``.  An empty table gives no archive and no record.
     """
     html = text_or_empty(html_col)
     page = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("target_uri"), F.encode(html, "UTF-8").alias("payload"), F.unhex(F.sha2(html, 256)).alias("sha"))
@@ -256,12 +256,12 @@ def crawl_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     groups = keys.groupBy("sha").agg(F.max("id").alias("first"), F.count("*").alias("n_equal")).filter("n_equal > 1")
     groups = cut(groups)
     # Only pages whose payload occurs again need to learn of their group.
-    again = attach_groups(keys.select("id", "sha"), groups, "sha", "n_equal").filter("id <> first").select(F.col("id").alias("__id"), F.col("sha").alias("__sha"), "first").distinct()
+    again = attach_groups(keys.select("id", "sha"), groups, "sha", "n_equal").filter("first is not null and not id <=> first").select(F.col("id").alias("__id"), F.col("sha").alias("__sha"), "first").distinct()
     again = cut(again)
     if again.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         again = F.broadcast(again)
     name = lambda c: F.concat(F.lit("urn:x-page:"), F.coalesce(c.cast("string"), F.lit("null")))
-    joined = page.join(again, (F.col("id") == F.col("__id")) & F.col("sha").eqNullSafe(F.col("__sha")), "left")
+    joined = page.join(again, F.col("id").eqNullSafe(F.col("__id")) & F.col("sha").eqNullSafe(F.col("__sha")), "left")
     return joined.select(name(F.col("id")).alias("record_id"), "target_uri", F.when(F.col("first").isNotNull(), name(F.col("first"))).alias("refers_to"), "payload")
 
 

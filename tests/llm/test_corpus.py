@@ -16,7 +16,7 @@ import corpus_pipeline
 from chunkmere.llm import queries
 from chunkmere.llm.language_id import LanguageModel, classify, drop_rejected, fit, identify, predict
 from chunkmere.llm.packing import generate_columns, pack_documents, plan, price, round_patterns
-from chunkmere.llm.sharding import hilbert_index, shard_documents
+from chunkmere.llm.sharding import hilbert_index, shard_documents, write_shards
 from chunkmere.llm.url_filters import filter_captures, host_of, keys_of, validity_intervals
 
 
@@ -195,13 +195,51 @@ def check_shards(df, whole=True):
 def test_sharding(docs, odd, spark):
     sizes = check_shards(docs)
     assert max(sizes) - min(sizes) < 0.1 * sum(sizes) / 8
-    check_shards(odd, whole=False)
+    check_shards(odd)
     hot = docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.lit("hot " * 500)).otherwise(F.col("text")))
     sizes = check_shards(hot, whole=False)
     assert max(sizes) - min(sizes) < 0.1 * sum(sizes) / 8
     assert shard_documents(odd.limit(0)).count() == 0
 
 
+def test_equal_texts_stay_whole_up_to_a_share(spark):
+    """Of 800 rows of 100 bytes a share is 100 rows: groups of 96 and 70 stay whole, one of 130 can't."""
+    copies = [f"{i:05}".ljust(99) for i, n in enumerate([96, 70, 70, 60, 130]) for _ in range(n)]
+    texts = copies + [f"own {i}".ljust(99) for i in range(800 - len(copies))]
+    rows = shard_documents(spark.createDataFrame([(i, t, "en", f"s{i % 7}") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").repartition(4)).collect()
+    where = defaultdict(set)
+    for r in rows:
+        where[texts[r.doc_id]].add(r.shard)
+    assert [len(where[f"{i:05}".ljust(99)]) > 1 for i in range(5)] == [False, False, False, False, True]
+    counts = Counter(r.shard for r in rows)
+    assert max(counts.values()) - min(counts.values()) <= 2
+
+
+def test_files_along_the_curve_are_pruned(spark, docs, tmp_path):
+    """Footers of the written files rule more files out than those of files in doc_id order do."""
+    import pyarrow.parquet as pq
+
+    def read(folder, column, test):
+        files = glob.glob(f"{folder}/**/*.parquet", recursive=True)
+        stats = [pq.ParquetFile(f).metadata.row_group(0) for f in files]
+        at = {c: next(i for i in range(stats[0].num_columns) if stats[0].column(i).path_in_schema == c) for c in ("lang", "source", "n_chars")}
+        return sum(test(s.column(at[column]).statistics) for s in stats) / len(files)
+
+    write_shards(docs, f"file://{tmp_path}/curve", file_rows=20)
+    docs.orderBy("doc_id").write.option("maxRecordsPerFile", 20).parquet(f"file://{tmp_path}/plain")
+    back = spark.read.parquet(f"file://{tmp_path}/curve")
+    assert Counter(map(tuple, back.select(docs.columns).collect())) == Counter(map(tuple, docs.collect()))
+    has = lambda v: lambda s: s.min <= v <= s.max
+    for column, test in (("lang", has("de")), ("source", has("src1")), ("n_chars", lambda s: s.min <= 1100 and s.max >= 900)):
+        assert read(f"{tmp_path}/curve", column, test) < 0.75 * read(f"{tmp_path}/plain", column, test), column
+
+
+def test_many_names_share_cells_in_order(spark):
+    df = spark.range(1000).selectExpr("id AS doc_id", "'t' || id AS text", "'l' || id % 3 AS lang", "format_string('s%04d', id) AS source")
+    rows = shard_documents(df, shards=4).collect()
+    assert len(rows) == 1000 and sorted(Counter(r.shard for r in rows).values())[0] >= 245
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_registered_queries_against_oracles(spark, name):
     c = duckdb.connect()

@@ -165,7 +165,7 @@ def test_unigram_viterbi_takes_the_best_score(pieces_model):
 
 def test_media_payloads_and_fingerprints(docs, odd):
     for df in (docs, odd):
-        rows = media.media_columns(df).collect()
+        rows = media.media_round_trip(df, keep_media=True).collect()
         texts = Counter((r.doc_id, r.text or "") for r in df.collect())
         assert len(rows) == sum(texts.values())
         by_bytes = {}
@@ -177,7 +177,7 @@ def test_media_payloads_and_fingerprints(docs, odd):
             assert (r.payload_sha256, r.tail_crc32) == (hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
             assert (r.media_bytes, r.media_sha256) == (len(r.media), hashlib.sha256(bytes(r.media)).hexdigest())
             assert by_bytes.setdefault(raw, r.feature) == r.feature and r.fingerprint == sorted(r.fingerprint)
-    assert media.media_columns(odd.limit(0)).count() == 0
+    assert media.media_round_trip(odd.limit(0)).count() == 0
 
 
 def test_peaks_find_tones():
