@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from chunkmere.llm import queries
+from chunkmere.llm import queries, url_filters
 from chunkmere.llm.language_id import LanguageModel, classify, drop_rejected, fit, identify, predict
 from chunkmere.llm.packing import generate_columns, pack_documents, plan, price, round_patterns
 from chunkmere.llm.sharding import hilbert_index, shard_documents, write_shards
@@ -143,22 +143,17 @@ def test_hosts_and_keys(spark):
     assert got[2] == (None, []) and got[3] == (None, []) and got[4][0] == "a.b" and ("prefix", "a.b/c/d") in got[4][1]
 
 
-def test_intervals_and_captures(spark):
+def test_intervals_and_captures(spark, monkeypatch):
     e = [("l", "host", "a.b", "add", 10), ("l", "host", "a.b", "remove", 20), ("l", "host", "a.b", "add", 30), ("l", "host", "a.b", "add", 10), ("m", "domain", "b.c", "add", 5), ("m", "domain", "b.c", "remove", 5), ("allow", "prefix", "a.b/ok", "add", 0), (None, "host", "a.b", "add", 1)]
     entries = spark.createDataFrame(e, "list string, kind string, pattern string, action string, day int")
     got = {(r["list"], r.valid_from, r.valid_to) for r in validity_intervals(entries).collect()}
     assert got == {("l", 10, 20), ("l", 30, None), ("allow", 0, None)}
     c = [(1, "http://a.b/", 9), (1, "http://a.b/", 10), (1, "http://a.b/", 19), (1, "http://a.b/", 20), (1, "http://a.b/", 99), (2, "http://a.b/ok/1", 99), (3, None, 10), (None, "http://a.b", None), (4, "http://x.b.c", 9), (5, "http://a.b/", 15), (5, "http://a.b/", 15)]
     captures = spark.createDataFrame(c, "page_id int, url string, day int").withColumn("list", F.lit("z"))
-    for limit in (None, 0):
-        import chunkmere.llm.url_filters as module
-
-        kept = module.BROADCAST_ROWS
-        module.BROADCAST_ROWS = kept if limit is None else limit
-        try:
-            out = {(r.page_id, r.url, r.day): (r.blocked, r.lists, r.n_copies) for r in filter_captures(captures, entries).collect()}
-        finally:
-            module.BROADCAST_ROWS = kept
+    for rows, share in ((1 << 20, 1000), (0, 1000), (0, 3)):
+        monkeypatch.setattr(url_filters, "BROADCAST_ROWS", rows)
+        monkeypatch.setattr(url_filters, "HOT_SHARE", share)
+        out = {(r.page_id, r.url, r.day): (r.blocked, r.lists, r.n_copies) for r in filter_captures(captures, entries).collect()}
         assert out == {
             (1, "http://a.b/", 9): (False, "", 1), (1, "http://a.b/", 10): (True, "l", 1), (1, "http://a.b/", 19): (True, "l", 1), (1, "http://a.b/", 20): (False, "", 1),
             (1, "http://a.b/", 99): (True, "l", 1), (2, "http://a.b/ok/1", 99): (False, "allow,l", 1), (3, None, 10): (False, "", 1), (None, "http://a.b", None): (False, "", 1),
@@ -167,6 +162,13 @@ def test_intervals_and_captures(spark):
     assert filter_captures(captures.limit(0), entries).count() == 0 and filter_captures(captures, entries.limit(0)).filter("blocked").count() == 0
 
 
+def test_key_hashes_are_those_of_the_keys(spark):
+    urls = ["https://U:p@Blog.A.example.com:8080/x/y?q#f", "http://h.org", "nothing", None, "ftp://a.b./c//d", "http://h/" + "/".join("p%d" % (i % 7) for i in range(800))]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    keys = df.select("url", F.explode(keys_of(F.col("url"))).alias("k")).select("url", url_filters.pattern_hash(F.col("k.kind"), F.col("k.pattern")).alias("h"))
+    assert Counter(map(tuple, keys.collect())) == Counter(map(tuple, df.select("url", F.explode(url_filters.key_hashes(F.col("url"))).alias("h")).collect()))
+
+
 @pytest.mark.parametrize("shape", [(2, 4), (3, 3), (4, 2)])
 def test_hilbert_steps_are_single(shape):
     cells = np.array(list(itertools.product(range(1 << shape[1]), repeat=shape[0])))
