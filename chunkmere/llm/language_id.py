@@ -25,6 +25,7 @@ from .common import BROADCAST_ROWS, bound_batches, cut, release_worker
 
 #: The sample: at most so many texts of a language, so many bytes of each from a place that its hash sets, and of all.
 SAMPLE_TEXTS, SAMPLE_TEXT_BYTES, DICT_BYTES = 256, 2048, 112 << 10
+SALTS = 64
 #: Level 5 is the first whose match finder is thorough enough for dictionaries of this size.
 LEVEL, BLOCK_BYTES = 5, 2048
 #: The runner-up must need this share more bytes, else the text is rejected; a lead of this share halves the runner-up's weight in the score.
@@ -103,8 +104,11 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), text.alias("text"), F.xxhash64(text).alias("h")).filter(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}")
     )
-    order = Window.partitionBy("lang").orderBy("h")
-    near = cut(rows.select("lang", "h").distinct().withColumn("k", F.row_number().over(order)).filter(F.col("k") <= SAMPLE_TEXTS))
+    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("h"))
+    # A language's hashes are first narrowed in SALTS groups apart, so that no task sorts all of a frequent one's.
+    near = rows.select("lang", "h").distinct().withColumn("salt", F.pmod("h", F.lit(SALTS)))
+    near = near.withColumn("k", first("lang", "salt")).filter(F.col("k") <= SAMPLE_TEXTS).select("lang", "h")
+    near = cut(near.withColumn("k", first("lang")).filter(F.col("k") <= SAMPLE_TEXTS))
     if near.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         near = F.broadcast(near)
     start = F.expr(f"1 + pmod(shiftright(h, 20), greatest(1, length(text) - {SAMPLE_TEXT_BYTES}))").cast("int")
