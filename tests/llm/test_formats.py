@@ -14,7 +14,7 @@ import zstandard
 from tokenizers import Tokenizer
 
 from chunkmere.llm import media, token_binary, tokens, warc
-from chunkmere.llm.pieces import decode_pieces, encode_pieces, piece_encoder
+from chunkmere.llm.pieces import decode_pieces, encode_pieces, piece_encoder, split_paths
 
 
 def test_token_encoder_equals_the_library(tokenizer, docs):
@@ -145,22 +145,62 @@ def test_pieces_equal_the_library(spark, pieces_model, docs, odd):
     assert encode_pieces(odd.limit(0), pieces_model).count() == 0
 
 
-def test_unigram_viterbi_takes_the_best_score(pieces_model):
+def best_segmentation(made, word):
+    """The plain Viterbi over characters: the largest summed score, the shorter last piece on ties."""
+    best = [(0.0, [])] + [None] * len(word)
+    for end in range(1, len(word) + 1):
+        for start in range(end - 1, max(-1, end - 65), -1):
+            part = word[start:end]
+            piece = made.rank.get(part)
+            if best[start] is None or piece is None and end - start > 1:
+                continue
+            score = best[start][0] + (-piece if piece is not None else made.lowest)
+            if best[end] is None or score > best[end][0]:
+                best[end] = score, best[start][1] + [part]
+    out = []
+    for part in best[-1][1]:
+        out += [made.text.index(part)] if part in made.rank else [int(made.byte_ids[b]) for b in part.encode()]
+    return out
+
+
+def test_viterbi_takes_the_best_score(pieces_model, docs):
     from dataclasses import replace
-    from functools import lru_cache
 
+    words = [" the", " nation", " interesting", " aaaa", " é日本☃x", "x" * 300, "naïve" * 50]
+    words += [f" {w}" for r in docs.filter("doc_id < 3").collect() for w in r.text.split()[:30]]
+    both = piece_encoder(pieces_model, True)
+    ids, bounds, best, ends = split_paths(*both.encode(pa.array([w.strip() for w in words])))
+    alone, alone_bounds = piece_encoder(pieces_model).encode(pa.array([w.strip() for w in words]))
+    assert (ids == alone).all() and (bounds == alone_bounds).all()
+    assert [best[a:z].tolist() for a, z in zip(ends, ends[1:])] == [best_segmentation(both, " " + w.strip()) for w in words]
     made = piece_encoder.__wrapped__(pieces_model)
-    rng = np.random.default_rng(4)
-    made.vocabulary = replace(made.vocabulary, model=1, scores=-rng.random(len(made.text)) * 10)
-    score = {t: float(made.vocabulary.scores[i]) for t, i in ((made.text[i], i) for i in made.key_ids)}
-    for word in (" the", " nation", " interesting", " aaaa"):
+    scores = -np.random.default_rng(4).random(len(made.text)) * 10
+    made.vocabulary = replace(made.vocabulary, model=1, scores=scores)
+    made.rank = {t: -float(scores[i]) for t, i in ((made.text[i], i) for i in made.key_ids)}
+    ids, counts = made._encode_words(pa.array(words))
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    assert [ids[a:z].tolist() for a, z in zip(ends, ends[1:])] == [best_segmentation(made, w) for w in words]
 
-        @lru_cache
-        def best(n, word=word):
-            return max((best(k)[0] + score[word[k:n]], best(k)[1] + (word[k:n],)) for k in range(n) if word[k:n] in score) if n else (0.0, ())
 
-        ids, _ = made._encode_words(pa.array([word]))
-        assert tuple(made.text[i] for i in ids) == best(len(word))[1]
+def test_long_words_equal_the_library(pieces_model, monkeypatch):
+    """Texts without spaces: by the scan, over several windows, and by the matrix."""
+    import sentencepiece
+
+    from chunkmere.llm import pieces
+
+    rng = random.Random(8)
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces_model)
+    texts = ["".join(rng.choice(x) for _ in range(n)) for x in ("abcdefghij", "日本語の文章です", "aé☃x", "x") for n in (50, 230, 2000)]
+    made = piece_encoder.__wrapped__(pieces_model, True)
+    for most, window in ((192, 1 << 19), (10, 64), (1 << 20, 64)):
+        monkeypatch.setattr(pieces, "LONG_BYTES", most)
+        monkeypatch.setattr(pieces, "WINDOW_BYTES", window)
+        made.slots.clear()
+        made.used = made.kept_used = 0
+        ids, bounds, best, ends = split_paths(*made.encode(pa.array(texts)))
+        assert [ids[a:z].tolist() for a, z in zip(bounds, bounds[1:])] == library.encode(texts)
+        got = [best[a:z].tolist() for a, z in zip(ends, ends[1:])]
+        assert got == [best_segmentation(made, " " + t) for t in texts]
 
 
 def test_media_payloads_and_fingerprints(docs, odd):
