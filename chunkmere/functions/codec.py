@@ -134,10 +134,22 @@ def erasure_decode(stored: bytes) -> bytes:
 # ---------------------------------------------------------------- columns
 
 
-def _bytes_udf(f):
+def _bytes_udf(f, strict: bool = True):
+    """``f`` over a column of bytes; unless ``strict``, what it refuses becomes null."""
+
+    def one(x):
+        if x is None:
+            return None
+        try:
+            return f(bytes(x))
+        except Exception:  # whatever damaged bytes raise
+            if strict:
+                raise
+            return None
+
     @F.pandas_udf("binary")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else f(bytes(x)))
+        return s.map(one)
 
     return run
 
@@ -151,12 +163,13 @@ def encode_chunk(content: Column, level: int = LZ4_LEVEL, key: Column | None = N
     return _bytes_udf(lambda b: erasure_encode(b, *shards))(out) if shards else out
 
 
-def decode_chunk(stored: Column, key: Column | None = None, erasure: bool = False) -> Column:
+def decode_chunk(stored: Column, key: Column | None = None, erasure: bool = False, strict: bool = True) -> Column:
+    """The content again; unless ``strict``, null for a damaged chunk or a wrong key."""
     sealed = key is not None
-    out = _bytes_udf(erasure_decode)(stored) if erasure else stored
+    out = _bytes_udf(erasure_decode, strict)(stored) if erasure else stored
     if sealed:
-        out = F.aes_decrypt(out, key, F.lit("GCM"))
-    return _bytes_udf(lambda b: decompress(unpad(b) if sealed else b))(out)
+        out = (F.aes_decrypt if strict else F.try_aes_decrypt)(out, key, F.lit("GCM"))
+    return _bytes_udf(lambda b: decompress(unpad(b) if sealed else b), strict)(out)
 
 
 def derived_key(name: Column, secret: bytes) -> Column:

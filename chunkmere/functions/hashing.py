@@ -20,8 +20,15 @@ def keyed_hash(key: bytes, data: bytes, level: int = FIRST_BLAKE_LEVEL) -> bytes
     return hmac.new(key, data, hashlib.sha256).digest()
 
 
+def file_hasher(level: int = FIRST_BLAKE_LEVEL):
+    """What a file's bytes are fed to, window by window."""
+    return hashlib.blake2b(digest_size=32) if level >= FIRST_BLAKE_LEVEL else hashlib.sha256()
+
+
 def file_hash(data: bytes, level: int = FIRST_BLAKE_LEVEL) -> str:
-    return (hashlib.blake2b(data, digest_size=32) if level >= FIRST_BLAKE_LEVEL else hashlib.sha256(data)).hexdigest()
+    whole = file_hasher(level)
+    whole.update(data)
+    return whole.hexdigest()
 
 
 def master_key(password: str, salt: bytes, iterations: int = 16384) -> bytes:

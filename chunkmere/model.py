@@ -38,6 +38,7 @@ class Config:
     chunk_seed: bytes = b"chunkmere"
     hash_key: bytes = b"chunkmere"
     id_key: bytes = b"chunkmere"
+    chunk_key: bytes = b""  # chunks are encrypted if there is one
     data_shards: int = 0
     parity_shards: int = 0
 

@@ -38,28 +38,44 @@ def rolling_table(seed: bytes) -> np.ndarray:
     return np.concatenate(out)
 
 
+#: Bytes whose hashes are worked out at once.
+SEGMENT = 1 << 20
+
+
+def _hits(data: np.ndarray, average: int, smallest: int, seed: bytes) -> np.ndarray:
+    """The places after which a chunk may end: where the last ``smallest`` bytes' hash has its low bits zero.
+
+    The cyclic-polynomial hash for all positions of a segment at once: each byte's value is rotated by
+    its position, runs of them are xored by prefix, and a window's hash is the difference of two
+    prefixes rotated back.
+    """
+    found = []
+    for low in range(0, len(data) - smallest + 1, SEGMENT):
+        part = data[low : min(len(data), low + SEGMENT + smallest - 1)]
+        at = np.arange(len(part), dtype=np.uint64) & np.uint64(63)
+        v = rolling_table(seed)[part]
+        back = np.uint64(64) - at & np.uint64(63)
+        prefix = np.bitwise_xor.accumulate(v >> at | v << back)
+        window = prefix[smallest - 1 :].copy()
+        window[1:] ^= prefix[:-smallest]
+        turn = at[smallest - 1 :]
+        back = np.uint64(64) - turn & np.uint64(63)
+        found.append(np.flatnonzero(((window << turn | window >> back) & np.uint64(average - 1)) == 0) + smallest + low)
+    return np.concatenate(found) if found else np.empty(0, np.int64)
+
+
 def cut_points(data: bytes, average: int, largest: int, smallest: int, seed: bytes = b"chunkmere") -> list[int]:
     """Where the chunks of a byte stream end.
 
-    The cyclic-polynomial hash of the last ``smallest`` bytes, for all positions at once: each byte's
-    value is rotated by its position, runs of them are xored by prefix, and a window's hash is the
-    difference of two prefixes rotated back.  A chunk ends at the first place, ``smallest`` bytes or
-    more from its start, where the hash's low bits are zero, or at ``largest``.
+    A chunk ends at the first place, ``smallest`` bytes or more from its start, where the hash of the
+    last ``smallest`` bytes has its low bits zero, or at ``largest``.
     """
     n = len(data)
     if smallest == largest:
         return list(range(smallest, n, smallest)) + ([n] if n else [])
     if n <= smallest:
         return [n] if n else []
-    at = np.arange(n, dtype=np.uint64) & np.uint64(63)
-    v = rolling_table(seed)[np.frombuffer(data, np.uint8)]
-    back = np.uint64(64) - at & np.uint64(63)
-    prefix = np.bitwise_xor.accumulate(v >> at | v << back)
-    window = prefix[smallest - 1 :].copy()
-    window[1:] ^= prefix[:-smallest]
-    turn = at[smallest - 1 :]
-    back = np.uint64(64) - turn & np.uint64(63)
-    hits = np.flatnonzero(((window << turn | window >> back) & np.uint64(average - 1)) == 0) + smallest
+    hits = _hits(np.frombuffer(data, np.uint8), average, smallest, seed)
     out, start = [], 0
     while n - start > smallest:
         k = int(np.searchsorted(hits, start + smallest))
@@ -72,6 +88,50 @@ def cut_points(data: bytes, average: int, largest: int, smallest: int, seed: byt
     return out
 
 
+class ChunkStream:
+    """Chunks of files that are fed window by window; with ``pack`` a chunk goes on from one file into the next.
+
+    ``feed`` and ``close`` give ``(content, [(file, its number of the piece, start, stop, place in the file)])`` for
+    each chunk that is whole: no more than a chunk and a window are held.
+    """
+
+    def __init__(self, average: int, largest: int, smallest: int, seed: bytes = b"chunkmere", pack: bool = False):
+        self.settings, self.largest, self.pack = (average, largest, smallest, seed), largest, pack
+        self.buffer, self.base = bytearray(), 0  # base: the stream's place of the buffer's first byte
+        self.open: list[list] = []  # [file, begin, end, pieces so far] in the stream
+
+    def feed(self, file: object, data: bytes, last: bool) -> Iterator[tuple[bytes, list[tuple]]]:
+        """More of a file; files come one after another, each with ``last`` at its end."""
+        begin = self.base + len(self.buffer)
+        if not self.open or self.open[-1][0] != file:
+            self.open.append([file, begin, begin, 0])
+        self.buffer += data
+        self.open[-1][2] = begin + len(data)
+        if last and not self.pack:
+            yield from self.close()
+        elif len(self.buffer) > 2 * self.largest:
+            yield from self._drain(False)
+
+    def close(self) -> Iterator[tuple[bytes, list[tuple]]]:
+        yield from self._drain(True)
+        self.open = []
+
+    def _drain(self, final: bool) -> Iterator[tuple[bytes, list[tuple]]]:
+        data, start = bytes(self.buffer), 0
+        ends = cut_points(data, *self.settings)
+        for end in ends if final else ends[:-1]:  # the last one may go on
+            low, high, pieces = self.base + start, self.base + end, []
+            for f in self.open:
+                if f[1] < high and f[2] > low:
+                    pieces.append((f[0], f[3], max(low, f[1]) - low, min(high, f[2]) - low, max(low, f[1]) - f[1]))
+                    f[3] += 1
+            yield data[start:end], pieces
+            start = end
+        self.base += start
+        del self.buffer[:start]
+        self.open = [f for f in self.open if f[2] > self.base or f is self.open[-1]]
+
+
 def content_chunks(files: DataFrame, average: int, largest: int, smallest: int, seed: bytes = b"chunkmere", hash_key: bytes = b"chunkmere", keep: bool = False) -> DataFrame:
     """``path, seq, offset, size, hash`` of content-defined chunks of each file, by itself.
 
