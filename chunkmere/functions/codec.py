@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .hashing import keyed_hash
 
-#: The marks of compressed chunks, and the levels of each codec.
+#: The marks of compressed chunks, the levels of each codec, the padding's unit.
 LZ4_MARK, ZSTD_MARK, ERASURE_MARK = b"LZ4 ", b"ZSTD", b"chunkRS\x01"
 LZ4_LEVEL, ZSTD_LEVELS = 100, {200: 1, 201: 3, 202: 7, 203: 11}
 PADDING = 256
@@ -68,10 +68,14 @@ def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where((a == 0) | (b == 0), 0, _EXP[_LOG[a] + _LOG[b]]).astype(np.uint8)
 
 
+#: Row c: every byte times c.
+_BY = _times(np.arange(256, dtype=np.uint8)[:, None], np.arange(256, dtype=np.uint8)[None, :])
+
+
 def _product(m: np.ndarray, rows: np.ndarray) -> np.ndarray:
     out = np.zeros((len(m), rows.shape[1]), np.uint8)
-    for k in range(rows.shape[0]):
-        out ^= _times(m[:, k, None], rows[None, k])
+    for i, k in zip(*np.nonzero(m)):
+        out[i] ^= rows[k] if m[i, k] == 1 else _BY[m[i, k]][rows[k]]
     return out
 
 

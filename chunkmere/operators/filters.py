@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 INCLUDE, EXCLUDE, INCLUDE_REGEX, EXCLUDE_REGEX = "+", "-", "i:", "e:"
@@ -15,6 +15,18 @@ def _kind(rule: str) -> str | None:
     return next((p for p in (INCLUDE, EXCLUDE, INCLUDE_REGEX, EXCLUDE_REGEX) if rule.startswith(p)), None)
 
 
+def _compile(expression: str) -> None:
+    """Refuse what the engine that will run it refuses: Java's where a session is active."""
+    active = SparkSession.getActiveSession()
+    if active is None:
+        re.compile(expression)
+        return
+    try:
+        active._jvm.java.util.regex.Pattern.compile(expression)
+    except Exception as e:
+        raise ValueError(f"bad regular expression {expression!r}") from e
+
+
 def parse_rules(lines: list[str], folder: str = ".", _open: tuple[str, ...] = ()) -> list[str]:
     """Rules of a filter file, in order and each once.
 
@@ -37,7 +49,7 @@ def parse_rules(lines: list[str], folder: str = ".", _open: tuple[str, ...] = ()
             if rule in (INCLUDE, EXCLUDE, INCLUDE_REGEX, EXCLUDE_REGEX):
                 continue
             if _kind(rule) in (INCLUDE_REGEX, EXCLUDE_REGEX):
-                re.compile(rule[2:])
+                _compile(rule[2:])
             found = [rule]
         out += [r for r in found if r not in out]
     return out
@@ -69,11 +81,11 @@ def rule_column(path: Column, rules: list[str]) -> Column:
 
 
 def without_marked(entries: DataFrame, marker: str) -> DataFrame:
-    """Entries without the contents of directories that hold the marker file; the directories stay."""
-    marked = entries.filter(F.col("path").endswith(f"/{marker}")).select(F.expr(f"left(path, length(path) - {len(marker)})").alias("top"))
+    """Entries without the contents of directories that hold the marker file, the top one included; the directories stay."""
+    marked = entries.filter(F.col("path").endswith(f"/{marker}") | (F.col("path") == marker)).select(F.expr(f"left(path, length(path) - {len(marker)})").alias("top"))
     parts = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/")))
-    inside = entries.select("path", F.explode(above).alias("top")).filter("top <> path").join(marked.distinct(), "top", "left_semi").select("path").distinct()
+    inside = entries.select("path", F.explode(F.concat(F.array(F.lit("")), above)).alias("top")).filter("top <> path").join(marked.distinct(), "top", "left_semi").select("path").distinct()
     return entries.join(inside, "path", "left_anti")
 
 

@@ -85,7 +85,8 @@ def first_occurrence(refs: DataFrame, group: list[str], key: str = "chunk_id", o
 def aligned_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     """Per path, bytes of the right version whose chunk at the same offset of the left one differs.
 
-    Chunks are ``path, offset, size, hash``.  A differing chunk counts whole.
+    Chunks are ``path, offset, size, hash``.  A differing chunk counts whole, and so does one that lies
+    past the end of the other version.
     """
     other = left.select("path", "offset", F.col("hash").alias("old_hash"))
     changed = F.when(F.col("hash").eqNullSafe(F.col("old_hash")), 0).otherwise(F.col("size"))

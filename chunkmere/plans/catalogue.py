@@ -81,6 +81,18 @@ def check_stats_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.revision_stats(refs(spark, sf_dir), chunks(spark, sf_dir))
 
 
+_BY_REVISION, _BY_ID = SQL["check_stats_revision"], """ic AS (SELECT DISTINCT id, chunk_id FROM seen), pc AS (SELECT chunk_id, count(*) AS ids FROM ic GROUP BY ALL),
+a AS (SELECT id, count(*) AS total_chunks, sum(coalesce(size, 0))::BIGINT AS total_bytes, count(*) FILTER (ids = 1) AS unique_chunks, coalesce(sum(size) FILTER (ids = 1), 0)::BIGINT AS unique_bytes
+FROM ic JOIN pc USING (chunk_id) LEFT JOIN chunks USING (chunk_id) GROUP BY id)"""
+
+
+@query(f"""WITH v AS ({_BY_REVISION}), {REFS}, {_BY_ID} SELECT id, CAST(revision AS INTEGER) AS revision, total_chunks, total_bytes, unique_chunks, unique_bytes, new_chunks, new_bytes FROM v
+UNION ALL SELECT id, NULL, total_chunks, total_bytes, unique_chunks, unique_bytes, NULL, NULL FROM a""")
+def check_stats_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of revisions, and one over all of an id."""
+    return stats.tabular_stats(refs(spark, sf_dir), chunks(spark, sf_dir))
+
+
 @query(f"""WITH {REFS}, ic AS (SELECT DISTINCT id, chunk_id FROM seen), pc AS (SELECT chunk_id, count(*) AS ids FROM ic GROUP BY ALL)
 SELECT id, count(*) AS total_chunks, CAST(sum(coalesce(size, 0)) AS BIGINT) AS total_bytes, count(*) FILTER (ids = 1) AS unique_chunks, CAST(coalesce(sum(size) FILTER (ids = 1), 0) AS BIGINT) AS unique_bytes
 FROM ic JOIN pc USING (chunk_id) LEFT JOIN chunks USING (chunk_id) GROUP BY id""")
@@ -291,6 +303,17 @@ def codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.select("doc_id", (codec.decode_chunk(F.col("stored"), F.col("key")) == F.col("raw")).alias("exact"))
 
 
+@query("SELECT doc_id, sha256(text) AS hash, true AS refused FROM documents")
+def sealed_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text under its own key, drawn from a storage key that a password opens; another password's key opens none."""
+    secret, wrong = (hashing.master_key(p, b"chunkmere salt", 1000) for p in ("the password", "another"))
+    made = files(spark, sf_dir).select("doc_id", "hash", F.col("content").cast("binary").alias("raw"))
+    key = lambda s: codec.derived_key(F.col("hash"), s)
+    stored = made.withColumn("stored", codec.encode_chunk(F.col("raw"), 201, key(secret)))
+    opened = codec.decode_chunk(F.col("stored"), key(secret))
+    return stored.select("doc_id", F.sha2(opened, 256).alias("hash"), codec.decode_chunk(F.col("stored"), key(wrong), strict=False).isNull().alias("refused"))
+
+
 @query("SELECT doc_id, true AS exact FROM documents")
 def erasure_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F8: every text in five shards and two for parity, with bytes of the first shard damaged, and back."""
@@ -362,6 +385,32 @@ def copy_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.copy_plan(r.filter("n % 2 = 0"), r.filter("n % 2 = 1"))
 
 
+@query(f"""WITH {REFS}, src AS (SELECT DISTINCT chunk_id FROM seen WHERE CAST(regexp_extract(id, 'repo([0-9]+)', 1) AS INTEGER) % 2 = 0), dst AS (SELECT DISTINCT chunk_id FROM seen WHERE CAST(regexp_extract(id, 'repo([0-9]+)', 1) AS INTEGER) % 2 = 1)
+SELECT CASE WHEN chunk_id IN (SELECT chunk_id FROM dst) THEN 'skip' ELSE 'copy' END AS action, count(*) AS n_chunks, CAST(sum(coalesce(size, 0)) AS BIGINT) AS bytes FROM src LEFT JOIN chunks USING (chunk_id) GROUP BY ALL""")
+def copy_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks and bytes that a copy sends, and those that the other storage has."""
+    sized = copy_plan(spark, sf_dir).join(chunks(spark, sf_dir).select("chunk_id", "size"), "chunk_id", "left")
+    return sized.groupBy("action").agg(F.count("*").alias("n_chunks"), F.sum(F.coalesce("size", F.lit(0))).alias("bytes"))
+
+
+@query(f"""WITH {FILES}, a AS (SELECT CASE WHEN r.path IS NULL THEN 'extra' WHEN l.size = r.size AND abs(l.time - r.time) <= 1 THEN 'skip' ELSE 'restore' END AS action, coalesce(r.size, l.size) AS size
+FROM remote r FULL JOIN local l ON r.path = l.path) SELECT action, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS bytes FROM a GROUP BY action""")
+def restore_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files and bytes by what a restore does with them."""
+    return restore_plan(spark, sf_dir).groupBy("action").agg(F.count("*").alias("n_files"), F.sum("size").alias("bytes"))
+
+
+@query(f"""WITH {FILES}, kept AS (SELECT path, size, time FROM remote), lost AS (SELECT path FROM f WHERE doc_id % 13 = 0)
+SELECT l.path, CASE WHEN k.path IS NULL THEN 'read' WHEN l.size <> k.size OR abs(l.time - k.time) > 1 THEN 'read' WHEN l.path IN (SELECT path FROM lost) THEN 'read' ELSE 'resume' END AS action
+FROM local l LEFT JOIN kept k USING (path)""")
+def resume_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a stopped backup, files that go on as they are; one that changed, or whose chunks are gone, is read again."""
+    lost = files(spark, sf_dir).filter("doc_id % 13 = 0").select("path")
+    begun = remote_files(spark, sf_dir).join(lost, "path", "left_anti")
+    plan = joins.backup_compare(local_files(spark, sf_dir), begun)
+    return plan.select("path", F.when(F.col("action") == "preserved", "resume").otherwise("read").alias("action"))
+
+
 @query(f"WITH {REFS} SELECT chunk_id, size FROM chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM seen WHERE revision = 80)")
 def cache_gc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cached chunks that the headers in the cache don't need."""
@@ -395,6 +444,17 @@ def gc_deletable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prune.deletable_by_host(s, recorded, COLLECTED_AT, NOW, consistent=False)
 
 
+@query(f"""WITH {SNAP}, late AS (SELECT *, end_time > {COLLECTED_AT} AS e FROM snap WHERE revision > 30 AND id NOT LIKE 'repo1@%' AND id NOT LIKE 'repo2@%'),
+w AS (SELECT *, coalesce(max(CAST(e AS INTEGER)) OVER (PARTITION BY id ORDER BY revision ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM late)
+SELECT id, revision, e AS ends_after FROM w WHERE b = 0""")
+def gc_ignored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The new snapshots that a collection waits for, but for those of ignored ids."""
+    s = snapshots(spark, sf_dir)
+    ignored = [f"repo{n}@host{h}" for n in (1, 2) for h in range(4)]
+    recorded = s.select("id").distinct().withColumn("last_revision", F.lit(30))
+    return prune.new_snapshots(s, recorded, COLLECTED_AT, ignored=ignored).select("id", "revision", "ends_after")
+
+
 _RETENTION = f"""WITH RECURSIVE {SNAP},
 d AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY revision) AS k, count(*) OVER (PARTITION BY id) AS n, CAST(epoch(to_timestamp(start_time)::DATE::TIMESTAMP) AS BIGINT) // 86400 AS day FROM snap),
 e AS (SELECT *, ({NOW} // 86400) - day AS age FROM d), q AS (SELECT *, CASE WHEN age >= 1500 THEN 0 WHEN age >= 700 THEN 1 WHEN age >= 200 THEN 2 ELSE 3 END AS own, k < n AND (OPEN) AS open FROM e),
