@@ -14,7 +14,6 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -56,8 +55,8 @@ class WordEncoder:
     cached = CACHED
 
     def __init__(self) -> None:
-        self.slots: dict[str, int] = {}
-        self.pool, self.used, self.kept_used = np.empty(1 << 20, np.uint32), 0, 0
+        self.kept = pa.array([], pa.string())  # words by their place
+        self.pool, self.kept_used = np.empty(1 << 20, np.uint32), 0
         self.starts = np.zeros(1 << 16, np.int64)
 
     def _encode_words(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,8 +68,8 @@ class WordEncoder:
 
     def _slots(self, words: pa.StringArray) -> np.ndarray:
         """Places of distinct words in the pool.  Once ``cached`` words are kept, others stay for this call only."""
-        self.used, n = self.kept_used, len(self.slots)
-        found = np.fromiter(map(self.slots.get, words.to_pylist(), repeat(-1)), np.int64, len(words))
+        used, n = self.kept_used, len(self.kept)
+        found = pc.fill_null(pc.index_in(words, value_set=self.kept), -1).to_numpy().astype(np.int64)
         missing = np.flatnonzero(found < 0)
         if not len(missing):
             return found
@@ -78,14 +77,15 @@ class WordEncoder:
         ids, counts = self._encode_words(new)
         while n + len(new) + 1 > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-        if self.used + len(ids) > len(self.pool):
+        if used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.empty(max(len(ids), len(self.pool) // 2), np.uint32)])
-        self.pool[self.used : self.used + len(ids)] = ids
-        self.starts[n + 1 : n + 1 + len(new)] = self.used + np.cumsum(counts)
+        self.pool[used : used + len(ids)] = ids
+        self.starts[n + 1 : n + 1 + len(new)] = used + np.cumsum(counts)
         found[missing] = np.arange(n, n + len(new))
         keep = max(0, min(len(new), self.cached - n))
-        self.slots.update(zip(new.slice(0, keep).to_pylist(), range(n, n + keep)))
-        self.kept_used = int(self.starts[len(self.slots)])
+        if keep:
+            self.kept = pa.concat_arrays([self.kept, new.slice(0, keep)])
+        self.kept_used = int(self.starts[len(self.kept)])
         return found
 
     def _plain(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
