@@ -29,7 +29,7 @@ from .tokens import encoder, slices
 
 LENGTH, QUANTUM = 2048, 8
 #: Words that a worker keeps.
-CACHED = 500_000
+CACHED = 1_000_000
 #: The program ends when its value is within this share, or within one sequence, of the dual bound.
 GAP = 5e-4
 PIECES = "id long, start long, length long, ids_crc32 long, doc_tokens long"

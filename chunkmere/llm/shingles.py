@@ -12,6 +12,7 @@ WORDS = 5
 _RNG = np.random.default_rng(0x5A17)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
 _PLACE = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
+_OTHER = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -33,15 +34,15 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return held
 
 
-def _word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the words from ``start`` to ``end`` by sums over runs of them."""
+def _word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.ndarray = _BYTE) -> np.ndarray:
+    """Hashes of the words from ``start`` to ``end`` by sums over runs of them; ``values`` are those of the bytes."""
     out, at = np.empty(len(start), np.uint64), 0
     while at < len(start):
         first = int(start[at])
         to = max(at + 1, int(np.searchsorted(end, first + RUN_BYTES, "right")))
         last = int(end[to - 1])
         sums = np.zeros(last - first + 1, np.uint64)
-        np.cumsum(_BYTE[data[first:last]] * powers(_BASE, last - first)[: last - first], out=sums[1:])
+        np.cumsum(values[data[first:last]] * powers(_BASE, last - first)[: last - first], out=sums[1:])
         s, e = start[at:to] - first, end[at:to] - first
         out[at:to] = mix((sums[e] - sums[s]) * powers(_INVERSE, last - first)[s] + (e - s).astype(np.uint64))
         at = to
@@ -57,6 +58,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def word_digests(words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each word."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, 4 * words.offset).astype(np.int64)
+    data = np.frombuffer(words.buffers()[2], np.uint8, int(offsets[-1] - offsets[0]), int(offsets[0])) if offsets[-1] > offsets[0] else np.empty(0, np.uint8)
+    start, end = offsets[:-1] - offsets[0], offsets[1:] - offsets[0]
+    with np.errstate(over="ignore"):
+        return _word_hashes(data, start, end), _word_hashes(data, start, end, _OTHER)
+
+
 def shingle_sets(texts: pa.StringArray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, bounds): each text's distinct shingles, ascending.
 

@@ -177,13 +177,14 @@ def _writer(path: str, end_id: int, file_ids: int):
             row = 0
             for texts in slices(b.column(2), 8 << 20):
                 ids, bounds = made.encode(texts)
-                bounds = bounds.tolist()
+                ids = np.insert(ids, bounds[1:], np.uint32(end_id))
+                bounds = (bounds + np.arange(len(bounds))).tolist()
                 for i in range(len(texts)):
                     if docs and (ranges[row] != now or n >= file_ids):
                         yield close()
                         number, docs, lengths, held, n = (number + 1 if ranges[row] == now else 0), [], [], [], 0
                     now = ranges[row]
-                    own = np.append(ids[bounds[i] : bounds[i + 1]], np.uint32(end_id))
+                    own = ids[bounds[i] : bounds[i + 1]]
                     docs.append(names[row])
                     lengths.append(len(own))
                     held.append(own)

@@ -19,8 +19,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .shingles import word_digests
+
 #: Words that a worker keeps; words that are encoded as one text; bytes of text that are encoded at once.
-CACHED, JOINED, SLICE_BYTES = 600_000, 500, 4 << 20
+CACHED, JOINED, SLICE_BYTES = 1_500_000, 500, 4 << 20
 _SPACE = r"[\t-\r\x1c- \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _ODD = f"{_SPACE} (?:{_SPACE}|$)"
 _PLAIN = f"^ (?s:.*)[^{_SPACE[1:]}$"
@@ -55,9 +57,12 @@ class WordEncoder:
     cached = CACHED
 
     def __init__(self) -> None:
-        self.kept = pa.array([], pa.string())  # words by their place
-        self.pool, self.kept_used = np.empty(1 << 20, np.uint32), 0
-        self.starts = np.zeros(1 << 16, np.int64)
+        self.pool, self.starts = np.empty(1 << 20, np.uint32), np.zeros(1 << 16, np.int64)
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop the words that are kept: their hashes in order, a second hash, and their places in ``starts``."""
+        self.keys, self.seconds, self.places, self.kept_used = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), 0
 
     def _encode_words(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts) of distinct words, each with the space before it."""
@@ -68,8 +73,12 @@ class WordEncoder:
 
     def _slots(self, words: pa.StringArray) -> np.ndarray:
         """Places of distinct words in the pool.  Once ``cached`` words are kept, others stay for this call only."""
-        used, n = self.kept_used, len(self.kept)
-        found = pc.fill_null(pc.index_in(words, value_set=self.kept), -1).to_numpy().astype(np.int64)
+        used, n = self.kept_used, len(self.keys)
+        first, second = word_digests(words)
+        found = np.full(len(words), -1, np.int64)
+        if n:
+            at = np.minimum(np.searchsorted(self.keys, first), n - 1)
+            found = np.where((self.keys[at] == first) & (self.seconds[at] == second), self.places[at], -1)
         missing = np.flatnonzero(found < 0)
         if not len(missing):
             return found
@@ -83,9 +92,10 @@ class WordEncoder:
         self.starts[n + 1 : n + 1 + len(new)] = used + np.cumsum(counts)
         found[missing] = np.arange(n, n + len(new))
         keep = max(0, min(len(new), self.cached - n))
-        if keep:
-            self.kept = pa.concat_arrays([self.kept, new.slice(0, keep)])
-        self.kept_used = int(self.starts[len(self.kept)])
+        by = missing[:keep][np.argsort(first[missing[:keep]], kind="stable")]
+        at = np.searchsorted(self.keys, first[by])
+        self.keys, self.seconds, self.places = (np.insert(x, at, y[by]) for x, y in ((self.keys, first), (self.seconds, second), (self.places, found)))
+        self.kept_used = int(self.starts[len(self.keys)])
         return found
 
     def _plain(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
