@@ -29,7 +29,7 @@ from .tokens import encoder, slices
 
 LENGTH, QUANTUM = 2048, 8
 #: Words that a worker keeps.
-CACHED = 1_000_000
+CACHED = 500_000
 #: The program ends when its value is within this share, or within one sequence, of the dual bound.
 GAP = 5e-4
 PIECES = "id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -187,7 +187,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGT
         made = encoder(tokenizer, CACHED)
         for b in batches:
             names, row = b.column(0).to_pylist(), 0
-            for texts in slices(b.column(1), 8 << 20):
+            for texts in slices(b.column(1), 2 << 20):
                 ids, bounds = made.encode(texts)
                 raw, bounds, out = memoryview(ids.astype("<u4").tobytes()), bounds.tolist(), []
                 end = int(end_id).to_bytes(4, "little")

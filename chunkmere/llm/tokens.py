@@ -62,7 +62,7 @@ class WordEncoder:
 
     def forget(self) -> None:
         """Drop the words that are kept: their hashes in order, a second hash, and their places in ``starts``."""
-        self.keys, self.seconds, self.places, self.kept_used = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), 0
+        self.word_keys, self.word_seconds, self.word_places, self.kept_used = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), 0
 
     def _encode_words(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts) of distinct words, each with the space before it."""
@@ -73,12 +73,12 @@ class WordEncoder:
 
     def _slots(self, words: pa.StringArray) -> np.ndarray:
         """Places of distinct words in the pool.  Once ``cached`` words are kept, others stay for this call only."""
-        used, n = self.kept_used, len(self.keys)
+        used, n = self.kept_used, len(self.word_keys)
         first, second = word_digests(words)
         found = np.full(len(words), -1, np.int64)
         if n:
-            at = np.minimum(np.searchsorted(self.keys, first), n - 1)
-            found = np.where((self.keys[at] == first) & (self.seconds[at] == second), self.places[at], -1)
+            at = np.minimum(np.searchsorted(self.word_keys, first), n - 1)
+            found = np.where((self.word_keys[at] == first) & (self.word_seconds[at] == second), self.word_places[at], -1)
         missing = np.flatnonzero(found < 0)
         if not len(missing):
             return found
@@ -93,9 +93,9 @@ class WordEncoder:
         found[missing] = np.arange(n, n + len(new))
         keep = max(0, min(len(new), self.cached - n))
         by = missing[:keep][np.argsort(first[missing[:keep]], kind="stable")]
-        at = np.searchsorted(self.keys, first[by])
-        self.keys, self.seconds, self.places = (np.insert(x, at, y[by]) for x, y in ((self.keys, first), (self.seconds, second), (self.places, found)))
-        self.kept_used = int(self.starts[len(self.keys)])
+        at = np.searchsorted(self.word_keys, first[by])
+        self.word_keys, self.word_seconds, self.word_places = (np.insert(x, at, y[by]) for x, y in ((self.word_keys, first), (self.word_seconds, second), (self.word_places, found)))
+        self.kept_used = int(self.starts[len(self.word_keys)])
         return found
 
     def _plain(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
