@@ -18,7 +18,7 @@ TOKENIZER, END_ID = "byte_bpe_50k.json", 1
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told by a margin go; the model learns from their labels."""
+    """Documents whose language can't be told by a margin go, null, empty and letterless texts with them; the model learns from their labels."""
     return drop_rejected(docs, fit(docs.select("text", "lang")))
 
 
