@@ -459,6 +459,10 @@ class Engine:
         laid = self._pieces(self.snapshot(snapshot_id, revision).filter("hash IS NOT NULL")).repartition("path").sortWithinPartitions("path", "seq")
         return laid.select("path", "hash", "seq", "content").mapInArrow(run, "path string, good boolean")
 
+    def damage(self, snapshot_id: str, revision: int | None = None) -> DataFrame:
+        """One row: a revision's files, and how many of them can't be put together as they were."""
+        return self.verify_files(snapshot_id, revision).agg(F.count("*").alias("n_files"), F.coalesce(F.sum((~F.col("good")).cast("long")), F.lit(0)).alias("n_corrupted"))
+
     def cat(self, snapshot_id: str, path: str, revision: int | None = None) -> bytes:
         """A file's bytes; only its own chunks are read."""
         found = self.snapshot(snapshot_id, revision).filter((F.col("path") == path) & F.col("hash").isNotNull())
@@ -663,11 +667,11 @@ class Engine:
 
     def prune(
         self, retention: list[str] | None = None, tags: list[str] | None = None, revisions: dict[str, list[int]] | None = None, exhaustive: bool = False, exclusive: bool = False, ignored: list[str] | None = None, now: int | None = None,
-        dry_run: bool = False, collect_only: bool = False, delete_only: bool = False,
+        dry_run: bool = False, collect_only: bool = False, delete_only: bool = False, ids: list[str] | None = None,
     ) -> dict:
         """Two-step fossil collection (L3): settle earlier collections, mark snapshots, list the chunks that only they need.
 
-        ``collect_only`` leaves earlier collections, ``delete_only`` makes no new one.
+        Retention and tags mark snapshots of ``ids`` alone, of every id without them.  ``collect_only`` leaves earlier collections, ``delete_only`` makes no new one.
         """
         now = now or int(time.time())
         out = {"deleted_snapshots": 0, "fossils": 0, "deleted_chunks": 0, "resurrected": 0}
@@ -675,12 +679,13 @@ class Engine:
             for c in self.state["collections"]:
                 self._settle(c, exclusive, ignored, now, out, dry_run)
         s = self.snapshots
+        of_ids = s.filter(F.col("id").isin(ids)) if ids else s
         if revisions:
             marked = self.spark.createDataFrame([(i, r) for i, rs in revisions.items() for r in rs], "id string, revision int").join(s, ["id", "revision"], "left_semi")
         elif retention:
-            marked = prune.retention(s, parse_retention(retention), now, tags, exclusive).filter("deleted").select("id", "revision")
+            marked = prune.retention(of_ids, parse_retention(retention), now, tags, exclusive).filter("deleted").select("id", "revision")
         elif tags:
-            marked = s.filter(F.col("tag").isin(tags)).select("id", "revision")
+            marked = of_ids.filter(F.col("tag").isin(tags)).select("id", "revision")
         else:
             marked = s.select("id", "revision").limit(0)
         marked = cut(marked)
