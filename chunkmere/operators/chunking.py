@@ -159,6 +159,22 @@ def content_chunks(files: DataFrame, average: int, largest: int, smallest: int,
     return files.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(run, schema)
 
 
+def metadata_chunks(lines: DataFrame, average: int = 1 << 20, run: int = 4096, seed: bytes = b"chunkmere", hash_key: bytes = b"chunkmere", keep: bool = False) -> DataFrame:
+    """``id, run, seq, offset, size, hash`` of content-defined chunks of each id's ``(id string, path, line)`` in path order.
+
+    Every line ends with a newline; chunks are from a quarter of ``average`` to four times that.  A list is
+    cut before paths whose hash ``run`` divides, and each run is a stream of its own: a long list is many
+    tasks', whatever its id, and an entry that comes or goes changes the chunks of its run alone.
+    Offsets count from the run's start.
+    """
+    first = (F.expr(f"pmod(xxhash64(path), {run})") == 0).cast("long")
+    laid = in_order(lines.select("id", "path", "line", first.alias("first")), ["path"], F.col("first"), ["id"])
+    of_run = laid.groupBy("id", (F.col("before") + F.col("first")).alias("run")).agg(F.array_sort(F.collect_list(F.struct("path", "line"))).alias("held"))
+    text = F.array_join(F.transform("held", lambda x: F.concat(x["line"], F.lit("\n"))), "")
+    found = content_chunks(of_run.select(F.concat_ws(":", "run", "id").alias("path"), text.alias("content")), average, 4 * average, average // 4, seed, hash_key, keep)
+    return found.select(F.expr("substring(path, instr(path, ':') + 1)").alias("id"), F.substring_index("path", ":", 1).cast("long").alias("run"), *found.columns[1:])
+
+
 # ---------------------------------------------------------------- maps
 
 

@@ -331,6 +331,29 @@ def cdc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.content_chunks(files(spark, sf_dir), 512, 2048, 128)
 
 
+@query(f"WITH {FILES} SELECT path, size, hash, true AS in_bounds FROM f WHERE size > 0")
+def cdc_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content-defined chunks put together again; all but a file's last are within the bounds, and none leaves a gap."""
+    parts = chunking.content_chunks(files(spark, sf_dir), 512, 2048, 128, keep=True)
+    end = F.max(F.col("offset") + F.col("size"))
+    small = F.sum((F.col("size") < 128).cast("int"))
+    last = F.max_by("size", "seq")
+    bounds = parts.groupBy("path").agg((end == F.sum("size")).alias("whole"), (F.max("size") <= 2048).alias("under"), (small == (last < 128).cast("int")).alias("over"))
+    return chunking.read_back(parts).join(bounds, "path").select("path", "size", "hash", (F.col("whole") & F.col("under") & F.col("over")).alias("in_bounds"))
+
+
+@query(f"""WITH {FILES}, l AS (SELECT split_part(path, '/', 1) AS id, path, size || ' ' || time || ' ' || hash || ' ' || path || chr(10) AS line FROM remote)
+SELECT id, CAST(sum(octet_length(encode(line))) AS BIGINT) AS size, sha256(string_agg(line, '' ORDER BY path)) AS hash FROM l GROUP BY id""")
+def metadata_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings cut into metadata chunks, each stored once, and read back in order."""
+    f = remote_files(spark, sf_dir)
+    lines = f.select(F.substring_index("path", "/", 1).alias("id"), "path", F.concat_ws(" ", "size", "time", "hash", "path").alias("line"))
+    parts = chunking.metadata_chunks(lines, 4096, 64, keep=True)
+    stored = parts.select("hash", "content").dropDuplicates(["hash"])
+    laid = parts.select("id", "run", "seq", "hash").join(stored, "hash")
+    return chunking.read_back(laid.select(F.col("id").alias("path"), F.struct("run", "seq").alias("seq"), "content")).withColumnRenamed("path", "id")
+
+
 @query()
 def blake2_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """hash, id and file hash of every document."""
