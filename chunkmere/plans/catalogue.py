@@ -11,6 +11,7 @@ from ..functions import codec, formats, hashing, paths
 from ..model import chunks, files, local_files, refs, remote_files, snapshots, table
 from ..operators import chunking, filters, joins, prune, stats
 from ..operators.ordering import in_order
+from ..sources import listings
 from ..streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -555,6 +556,35 @@ def entry_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("path", F.format_string("%9d %s %s %s", "size", at, "hash", "path").alias("line"))
 
 
+_LISTED = f"WITH {STREAM} SELECT lang AS id, CAST(doc_id AS VARCHAR) AS path, size, 1700000000 + doc_id AS time, start_chunk, start_offset, end_chunk, end_offset FROM ranges"
+
+
+def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of the documents' streams with every field of a listing."""
+    r = _ranges(spark, sf_dir).withColumn("path", F.col("doc_id").cast("string")).withColumn("time", F.lit(1_700_000_000) + F.col("doc_id"))
+    return r.select("lang", "doc_id", "path", "size", "time", F.lit(0o644).alias("mode"), F.lit("").alias("link"), F.sha2("path", 256).alias("hash"), *listings.RANGE, F.lit(-1).alias("uid"), F.lit(-1).alias("gid"), F.lit(None).cast("map<string,binary>").alias("attributes"))
+
+
+_READ = ["id", "path", "size", "time", *listings.RANGE]
+
+
+@query(_LISTED)
+def listing_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings written as records with delta-coded chunks, in parts that end within records, and read back."""
+    coded = chunking.delta_encode(_listing(spark, sf_dir), ["lang"], "doc_id").withColumn("start_chunk", F.col("d_start")).withColumn("end_chunk", F.col("d_end"))
+    parts = coded.select("lang", "doc_id", listings.entry_record(F.struct(*listings.RECORD, "attributes")).alias("r"))
+    halves = F.array(F.expr("substring(r, 1, 9)"), F.expr("substring(r, 10)"))
+    laid = parts.select(F.col("lang").alias("id"), "doc_id", F.posexplode(halves).alias("half", "content")).select("id", F.struct("doc_id", "half").alias("seq"), "content")
+    return listings.read_records(laid).select(*_READ)
+
+
+@query(_LISTED)
+def listing_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries as the JSON objects of older lists, parsed strictly, and read."""
+    text = _listing(spark, sf_dir).select(F.col("lang").alias("id"), listings.entry_json().alias("j"))
+    return listings.listed(text.select("id", F.from_json("j", listings.JSON_ENTRY, {"mode": "FAILFAST"}).alias("e")).select("id", "e.*"), "id").select(*_READ)
+
+
 @query(f"""WITH {REFS}, n AS (SELECT chunk_id, sha256(CAST(chunk_id AS VARCHAR)) AS h, state FROM chunks)
 SELECT chunk_id, CASE WHEN chunk_id % 101 = 0 THEN 'tmp' WHEN chunk_id % 103 = 0 THEN 'unknown' ELSE state END AS state, h AS id FROM n""")
 def object_states(spark: SparkSession, sf_dir: str) -> DataFrame:
