@@ -361,7 +361,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     a = _parser().parse_args(arguments)
     handler = _start_log(a)
     try:
-        return a.run(_Job(a, spark or session(a.master)))
+        return a.run(_Job(a, spark or session(a.master, spark__ui__showConsoleProgress="false")))
     except (ValueError, OSError, PySparkException) as e:
         _say("FAILED", str(e).split("\n")[0] or type(e).__name__, logging.ERROR)
         return FAILED
