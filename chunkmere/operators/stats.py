@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import shuffled
+
 
 def storage_totals(chunks: DataFrame) -> DataFrame:
     """Objects and bytes by state; empty ones counted apart."""
@@ -41,7 +43,7 @@ def revision_stats(refs: DataFrame, chunks: DataFrame) -> DataFrame:
 def id_stats(refs: DataFrame, chunks: DataFrame) -> DataFrame:
     """Per id: distinct chunks, and those that no other id refers to (A5, A6's ``all`` row)."""
     size = F.coalesce("size", F.lit(0))
-    seen = refs.select("id", "chunk_id").distinct().join(chunks.select("chunk_id", "size"), "chunk_id", "left")
+    seen = refs.select("id", "chunk_id").distinct().join(shuffled(chunks.select("chunk_id", "size")), "chunk_id", "left")
     told = seen.select("id", size.alias("size"), (F.count("*").over(Window.partitionBy("chunk_id")) == 1).alias("own"))
     return told.groupBy("id").agg(
         F.count("*").alias("total_chunks"), F.sum("size").alias("total_bytes"), F.sum(F.col("own").cast("long")).alias("unique_chunks"), F.sum(F.when(F.col("own"), F.col("size")).otherwise(0)).alias("unique_bytes")
