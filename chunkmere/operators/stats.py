@@ -29,7 +29,7 @@ def revision_stats(refs: DataFrame, chunks: DataFrame) -> DataFrame:
     partitioning by chunk then serves both windows; a chunk has at most one row a revision there.
     """
     size = F.coalesce("size", F.lit(0))
-    seen = refs.select("id", "revision", "chunk_id").distinct().join(chunks.select("chunk_id", "size"), "chunk_id", "left")
+    seen = refs.select("id", "revision", "chunk_id").distinct().join(shuffled(chunks.select("chunk_id", "size")), "chunk_id", "left")
     alone = F.count("*").over(Window.partitionBy("chunk_id")) == 1
     new = F.col("revision") == F.min("revision").over(Window.partitionBy("chunk_id", "id"))
     told = seen.select("id", "revision", size.alias("size"), alone.alias("alone"), new.alias("new"))
