@@ -413,7 +413,7 @@ def copy_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT CASE WHEN chunk_id IN (SELECT chunk_id FROM dst) THEN 'skip' ELSE 'copy' END AS action, count(*) AS n_chunks, CAST(sum(coalesce(size, 0)) AS BIGINT) AS bytes FROM src LEFT JOIN chunks USING (chunk_id) GROUP BY ALL""")
 def copy_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks and bytes that a copy sends, and those that the other storage has."""
-    sized = copy_plan(spark, sf_dir).join(chunks(spark, sf_dir).select("chunk_id", "size"), "chunk_id", "left")
+    sized = copy_plan(spark, sf_dir).join(joins.shuffled(chunks(spark, sf_dir).select("chunk_id", "size")), "chunk_id", "left")
     return sized.groupBy("action").agg(F.count("*").alias("n_chunks"), F.sum(F.coalesce("size", F.lit(0))).alias("bytes"))
 
 
