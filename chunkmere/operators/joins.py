@@ -61,7 +61,7 @@ def check_chunks(refs: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def missing_chunks(refs: DataFrame, chunks: DataFrame) -> DataFrame:
     """Referenced chunks that aren't stored, with how many revisions need each."""
-    gone = refs.select("id", "revision", "chunk_id").distinct().join(chunks.select("chunk_id"), "chunk_id", "left_anti")
+    gone = refs.select("id", "revision", "chunk_id").distinct().join(shuffled(chunks.select("chunk_id")), "chunk_id", "left_anti")
     return gone.groupBy("chunk_id").agg(F.count("*").alias("n_revisions"))
 
 
