@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators.joins import shuffled
+
 ENTRIES = (
     "id string, revision int, seq long, path binary, size long, time long, mode long, link string, hash string, uid int, gid int, "
     "content struct<start_chunk:int,start_offset:int,end_chunk:int,end_offset:int>, attributes map<string,binary>"
@@ -81,7 +83,7 @@ def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("o_orderkey"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),
         (F.col("l_partkey") * 10 + F.col("l_quantity").cast("int") % 10).alias("chunk_id"),
     )
-    return items.join(_order_snapshots(spark, sf_dir).select("o_orderkey", "id", "revision"), "o_orderkey").select("id", "revision", "seq", "chunk_id")
+    return items.join(shuffled(_order_snapshots(spark, sf_dir).select("o_orderkey", "id", "revision")), "o_orderkey").select("id", "revision", "seq", "chunk_id")
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
